@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import companies, leaks, pii, tokens, topn
-from eventloom.session import table
+from eventloom.llm import companies, leaks, neardup, pii, tokens, topn
+from eventloom.session import cut_lineage, table
 
 
 def company_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return companies.map_records(company_records(spark, sf_dir), table(spark, sf_dir, "enterprise_pool"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "standard_events")
+    mapping = cut_lineage(companies.match_names(events.select("company"), table(spark, sf_dir, "enterprise_pool")))
+    return neardup.event_pairs(events, mapping)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -39,7 +45,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
