@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import companies, leaks, neardup, pii, tokens, topn
+from eventloom.llm import companies, languages, leaks, neardup, pii, tokens, topn
 from eventloom.session import cut_lineage, table
 
 
@@ -26,6 +26,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return companies.map_records(company_records(spark, sf_dir), table(spark, sf_dir, "enterprise_pool"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.wrong_labels(languages.field_segments(table(spark, sf_dir, "standard_events")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "standard_events")
     mapping = cut_lineage(companies.match_names(events.select("company"), table(spark, sf_dir, "enterprise_pool")))
@@ -45,7 +49,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
