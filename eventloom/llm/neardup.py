@@ -131,6 +131,19 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), words], names=["uid", "words"])
 
 
+#: Bits of the sieve of wanted rows; with 64 to a row it is a table of at most so many / 64 rows, whatever the data.
+SIEVE_BITS = 1 << 23
+
+
+def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose uid is in ``wanted``. A sieve of hashed bits, bounded by construction and therefore broadcast, keeps
+    most other rows out of the shuffle of the exact semi-join that follows."""
+    place = lambda df: df.withColumn("_h", F.pmod(F.xxhash64("uid"), F.lit(SIEVE_BITS))).withColumn("_slot", F.expr("_h div 64")).withColumn("_bit", F.expr("cast(_h % 64 as int)"))
+    sieve = place(wanted.select("uid")).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask"))
+    passed = place(rows).join(F.broadcast(sieve), "_slot").where(F.expr("shiftrightunsigned(_mask, _bit) & 1") == 1)
+    return passed.select(*rows.columns).join(wanted, "uid", "left_semi")
+
+
 def near_duplicates(records: DataFrame, keys: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
     """(links, members) for ``records`` (uid long, text) and ``keys`` (uid, key long); uid is unique in both.
 
@@ -161,7 +174,7 @@ def near_duplicates(records: DataFrame, keys: DataFrame, threshold: float = THRE
     )
     likely = cut_lineage(likely)
     wanted = likely.select(F.col("a").alias("uid")).union(likely.select("b")).distinct()
-    sets = rec.join(wanted, "uid", "left_semi").select("uid", "text").mapInArrow(_sets, "uid bigint, words array<int>")
+    sets = only_wanted(rec, wanted).select("uid", "text").mapInArrow(_sets, "uid bigint, words array<int>")
     shared = F.size(F.array_intersect("x.words", "y.words"))
     links = (
         likely.join(sets.alias("x"), F.col("a") == F.col("x.uid"))
