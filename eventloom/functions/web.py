@@ -71,7 +71,7 @@ def article_body(page: Column | str, paragraphs: int = 6, limit: int = 500) -> C
     """Heading (150 characters at most) and the first paragraphs longer than 40 characters of a page, cut to ``limit``."""
     page = F.coalesce(col(page), F.lit(""))
     head = F.substring(strip_tags(F.regexp_extract(page, r"(?is)<h1[^>]*>(.*?)</h1>", 1)), 1, 150)
-    parts = F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), 1), strip_tags)
+    parts = F.transform(F.regexp_extract_all(page, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), 1), lambda p: strip_tags(p))
     kept = F.slice(F.filter(parts, lambda p: (F.length(p) > 40) & ~F.lower(p).rlike(r"cookie|subscribe|sign in|privacy policy|all rights reserved")), 1, paragraphs)
     return F.trim(F.substring(F.concat_ws(" ", F.when(head != "", head), F.array_join(kept, " ")), 1, limit))
 

@@ -244,7 +244,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def candidates(values: DataFrame, feeds: DataFrame) -> DataFrame:
     """(tab, rec_id, source, cands) from values (tab, rec_id, feed_id, raw, fetched_at) and the feeds' settings."""
     known = broadcast_if_small(feeds.select("feed_id", "feed_tz", "date_order").dropDuplicates(["feed_id"]))
-    rows = values.join(known, "feed_id", "left").select(
+    rows = values.select("tab", "rec_id", "feed_id", "raw", "fetched_at").join(known, "feed_id", "left").select(
         "tab",
         "rec_id",
         F.concat_ws("|", "tab", F.col("feed_id").cast("string")).alias("source"),
