@@ -183,8 +183,11 @@ def clean_field(text: str) -> str:
 def train_profiles(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Profiles:
     """Profiles from at most ``rows`` labelled rows (uid, lang, text), the same on every run."""
     lang = F.lower(F.regexp_extract(F.trim("lang"), r"^([A-Za-z]+)", 1))
-    known = labelled.select(lang.alias("lang"), "text", "uid").where(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 20))
-    sample = known.orderBy(F.xxhash64("uid"), "uid").limit(rows).select("lang", "text").collect()
+    known = labelled.select(lang.alias("lang"), "text", "uid").where(F.col("lang").isin(*LANGUAGES))
+    # thinned by hash before the cut, so that the partitions do not each send a whole sample to the driver
+    share = min(1.0, 3.0 * rows / max(1, known.count()))
+    thin = known.where((F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))) & (F.length("text") > 20))
+    sample = thin.orderBy(F.xxhash64("uid"), "uid").limit(rows).select("lang", "text").collect()
     return Profiles.train([(r.lang, clean_field(r.text)) for r in sample])
 
 
