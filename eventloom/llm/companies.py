@@ -62,8 +62,9 @@ def with_clean_name(df: DataFrame, raw: str, out: str) -> DataFrame:
 
 def reference_strings(pool: DataFrame) -> DataFrame:
     """(company_id, ref, w1, rest): the cleaned names and aliases, and leading words that only one entry has."""
-    names = pool.select("company_id", F.explode(F.array_union(F.array("company"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
-    full = with_clean_name(names, "name", "name").select("company_id", "name").where(F.length("name") >= 2).distinct()
+    names = pool.select("company_id", F.explode(F.concat(F.array("company"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+    # cut here, or the optimiser would copy the whole cleaning into every later use of it
+    full = cut_lineage(with_clean_name(names, "name", "name").select("company_id", "name")).where(F.length("name") >= 2).distinct()
     full = full.withColumn("w1", F.split("name", " ")[0]).withColumn("rest", F.expr("replace(substring(name, length(w1) + 2), ' ', '')"))
     trade = F.regexp_extract("name", rf"^(\p{{IsHan}}{{2,}}?)(?:{_HAN_TRADE})$", 1)
     heads = full.select("company_id", F.when(F.length(trade) > 0, trade).otherwise(F.col("w1")).alias("name"))

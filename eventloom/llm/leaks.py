@@ -132,6 +132,10 @@ class Index:
         self.tokens = np.concatenate([np.zeros(1, np.int64), *[np.array([self.vocab[w] for w in ws] + [0], np.int64) for _, ws in items]])
         self.item = np.concatenate([np.zeros(1, np.int64), *[np.full(len(ws) + 1, i, np.int64) for i, ws in items]])
         self.listed = self.tokens.tolist()
+        sizes = [len(ws) for _, ws in items]
+        #: Words of the same item before and after each one.
+        self.before = [0] + [k for n in sizes for k in range(n + 1)]
+        self.after = [0] + [max(0, n - 1 - k) for n in sizes for k in range(n + 1)]
         self.at = self._starts(self.tokens)
         self.keys = self._keys(self.tokens, self.at)
 
@@ -250,9 +254,12 @@ class Index:
         best = 0
         for a, x in enumerate(left):
             for b, y in enumerate(right):
-                total = x + length + y
-                if total >= self.least and (a + b) * PER_EDIT <= total:
-                    best = max(best, total)
+                # words of the item next to the passage can count as changed ones
+                spare = self.before[e] + self.after[e] - length + 1 - x - y
+                for more in range(self.edits - a - b + 1):
+                    total = x + length + y + min(more, spare)
+                    if total >= self.least and (a + b + more) * PER_EDIT <= total:
+                        best = max(best, total)
         return best
 
     def _reach(self, tokens: list[int], e: int, d: int, step: int) -> list[int]:

@@ -137,11 +137,12 @@ SIEVE_BITS = 1 << 23
 
 def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose uid is in ``wanted``. A sieve of hashed bits, bounded by construction and therefore broadcast, keeps
-    most other rows out of the shuffle of the exact semi-join that follows."""
+    most other rows out of the shuffle of the exact join that follows."""
     place = lambda df: df.withColumn("_h", F.pmod(F.xxhash64("uid"), F.lit(SIEVE_BITS))).withColumn("_slot", F.expr("_h div 64")).withColumn("_bit", F.expr("cast(_h % 64 as int)"))
     sieve = place(wanted.select("uid")).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask"))
     passed = place(rows).join(F.broadcast(sieve), "_slot").where(F.expr("shiftrightunsigned(_mask, _bit) & 1") == 1)
-    return passed.select(*rows.columns).join(wanted, "uid", "left_semi")
+    # an inner join with distinct ids: a semi-join would be pushed below the sieve
+    return passed.select(*rows.columns).join(wanted.select("uid").distinct(), "uid")
 
 
 def near_duplicates(records: DataFrame, keys: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
