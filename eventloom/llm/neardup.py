@@ -199,7 +199,7 @@ def event_pairs(events: DataFrame, companies: DataFrame) -> DataFrame:
     blank description, and those without event_id, are in no pair; a title may be null. An empty table gives an empty
     result. ``row_id`` must be unique.
     """
-    told = events.where("event_id is not null").where(F.length(blank_to_empty(F.col("description"))) > 0)
+    told = events.where("event_id is not null").where(F.col("description").rlike(r"[^\s\x{00A0}\x{3000}]"))
     records = told.select(F.col("row_id").alias("uid"), F.concat_ws(" \n ", "title", "description").alias("text"))
     stated = told.select(F.col("row_id").alias("uid"), "company", blank_to_empty(F.col("company")).alias("plain"))
     of = F.when(F.col("company_id") >= 0, F.col("company_id")).otherwise(F.xxhash64(F.lower("plain")))
