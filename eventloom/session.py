@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,11 +63,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, for clusters on whose Python path it is not."""
-    import shutil
+_SHIPPED: set[str] = set()
+
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a session, once; needed where it is not on their Python path."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
     root = os.path.dirname(os.path.abspath(__file__))
-    base = os.path.join(tempfile.mkdtemp(), "eventloom")
-    archive = shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root))
+    folder = tempfile.mkdtemp(prefix="eventloom-")  # the driver serves the file from here while it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "eventloom_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(root)))
     spark.sparkContext.addPyFile(archive)

@@ -26,21 +26,21 @@ def test_amount(spark, raw, want):
 
 
 def test_similarity(spark):
-    assert value(spark, text.similarity, "Cursor launches AI agent", "Cursor releases AI agent") == pytest.approx(0.6)
+    assert value(spark, text.similarity, "Tool launches AI agent", "Tool releases AI agent") == pytest.approx(0.6)
     assert value(spark, text.similarity, "ABC", "abc") == 1.0
     assert value(spark, text.similarity, "", "abc") == 0.0
     assert value(spark, text.similarity, None, "abc") == 0.0
 
 
 def test_core_noun(spark):
-    assert value(spark, text.core_noun, "Introducing Claude Opus 5") == "claude opus 5"
-    assert value(spark, text.core_noun, "通义千问发布") == "通义千问发布"
+    assert value(spark, text.core_noun, "Introducing Some Model 5") == "some model 5"
+    assert value(spark, text.core_noun, "某某模型发布") == "某某模型发布"
     assert value(spark, text.core_noun, None) == ""
 
 
 def test_dedup_key(spark):
-    assert value(spark, text.dedup_key, "Cursor launches the AI Agent!") == "cursor ai agent"
-    assert value(spark, text.dedup_key, "通义千问发布 Qwen3") == "通义千问发布 qwen3"
+    assert value(spark, text.dedup_key, "Tool launches the AI Agent!") == "tool ai agent"
+    assert value(spark, text.dedup_key, "某某模型发布 Model3") == "某某模型发布 model3"
     assert len(value(spark, text.dedup_key, "word" * 400)) == 80
     assert value(spark, text.dedup_key, None) == ""
 
@@ -49,8 +49,8 @@ def test_entities_and_class(spark):
     e = value(spark, records.extract_entities, "某公司由红杉、高瓴领投完成 5 亿元 B 轮融资")
     assert (e["amount"], e["round"], e["investors"]) == (50000.0, "B 轮", ["红杉", "高瓴"])
     assert value(spark, records.extract_entities, "该项目获得 1.2k stars")["star_count"] == 1200
-    assert value(spark, records.classify, "Ringg raises $10M Series A", "") == "investment"
-    assert value(spark, records.classify, "OpenAI 发布 GPT-6 模型", None) == "product"
+    assert value(spark, records.classify, "Firm raises $10M Series A", "") == "investment"
+    assert value(spark, records.classify, "某公司 发布 X-6 模型", None) == "product"
 
 
 EVIDENCE = "s array<struct<url:string,source_type:string,name:string,credibility_score:double,published_at:string>>"
