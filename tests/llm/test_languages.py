@@ -53,3 +53,34 @@ def test_cases(spark):
     got = sorted((r.row_id, r.fld, r.seg_no, r.lang) for r in L.wrong_labels(L.field_segments(df)).collect())
     assert got == [(100, "title", 1, "en"), (101, "description", 1, "ja"), (102, "description", 1, "en"), (102, "description", 2, "de")]
     assert L.field_segments(df.limit(0)).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    """Trained on labelled events; scored on texts of two other tables, none of which was trained on."""
+    from pyspark.sql import functions as F
+
+    from eventloom.session import table
+
+    d = "/root/testdata/sf0.01"
+    events = table(spark, d, "standard_events").select(F.col("row_id").alias("uid"), "lang", F.concat_ws("\n", "title", "description").alias("text"))
+    profiles = L.train_profiles(events, 3000)
+
+    def share(rows):
+        right = total = 0
+        for label, text in rows:
+            found = profiles.segments([L.clean_field(text)], titles=False)[0]
+            if found:
+                size = {}
+                for a, b, lang, _ in found:
+                    size[lang] = size.get(lang, 0) + b - a
+                right += max(size, key=size.get) == label
+                total += 1
+        return right / total, total
+
+    items = [(r.lang, r.text) for r in table(spark, d, "eval_items").select("lang", "text").collect()]  # clean labels
+    accuracy, n = share(items)
+    assert n == len(items) and accuracy >= 0.97
+    docs = table(spark, d, "documents").where(F.length("text") > 200).select("lang", "text").collect()
+    docs = [(L.primary_subtag(r.lang), r.text) for r in docs if L.primary_subtag(r.lang) in L.LANGUAGES]
+    agreement, n = share(docs)  # part of these labels is wrong by design, so agreement is bounded
+    assert n > 300 and agreement >= 0.75

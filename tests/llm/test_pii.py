@@ -39,3 +39,18 @@ def test_documents(spark):
     clean = {r.doc_id: r.clean_text for r in pii.scan_documents(df).collect()}
     assert clean[2] is None and clean[3] == "" and "[EMAIL]" in clean[1]
     assert pii.distinct_finds(df.limit(0)).count() == 0
+
+
+def test_anchors_find_what_a_scan_of_every_place_finds(spark):
+    """The same parsers without the automaton: tried at every character of whole documents."""
+    from eventloom.session import table
+
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.001", "documents").select("text").collect() if r.text]
+    missed = []
+    for text in texts:
+        found = pii.find_pii(text)
+        emails = {pii._email(text, k) for k in range(len(text)) if text[k] in "@＠[("} - {None}
+        places = {m.span() for pattern in pii._ADDRESSES for m in pattern.finditer(text)}
+        for kind, spans in (("email", emails), ("address", places)):
+            missed += [(kind, text[a:b]) for a, b in spans if not any(s < b and e > a for _, s, e in found)]
+    assert missed == []
