@@ -97,7 +97,7 @@ def daily_papers(spark: SparkSession, path: str, most: int = 15) -> DataFrame:
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
 
 
 def feed_items(spark: SparkSession, path: str, most: int = 20) -> DataFrame:

@@ -25,7 +25,7 @@ def test_github_first_query_wins(spark, put, tmp_path):
     put("q/3.json", "not json at all")
     got = payloads.github_repositories(spark, str(tmp_path / "q")).orderBy("seq")
     assert [(r.project_name, r.stars, r.created_at) for r in got.collect()] == [("a", 5, "2026-01-02"), ("b", 6, "2026-01-02"), ("c", 1, "2026-01-02")]
-    assert payloads.github_repositories(spark, str(tmp_path / "q"), per_query=1).count() == 2
+    assert payloads.github_repositories(spark, str(tmp_path / "q"), per_query=1).count() == 1  # the first of both queries is one repository
 
 
 def test_listings(spark, put):
@@ -93,7 +93,7 @@ def test_sinks(spark, tmp_path):
     text = sinks.report_markdown(picks, "2026-01-01").first().content
     assert text.index("## firm") < text.index("## paper") and text.index("### 1. A") < text.index("### 2. B")
     sinks.write_report(sinks.report_markdown(picks, "2026-01-01"), str(tmp_path / "out"))
-    assert spark.read.option("wholetext", True).text(str(tmp_path / "out")).first().value.strip() == text.strip()
+    assert spark.read.text(str(tmp_path / "out"), wholetext=True).first().value.strip() == text.strip()
     items = spark.createDataFrame([("t & u", "l", "2026-01-02", "d"), ("v", "l", "2026-01-03", None)], "title string, link string, published_at string, description string")
     doc = sinks.rss(items, "T", "L", F.col("published_at").desc()).first().value
     assert doc.index("<title>v") < doc.index("t &amp; u")
