@@ -13,6 +13,9 @@ from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from eventloom.session import cut_lineage
 
 _SPLIT = re.compile(r"[^一-龥a-z0-9]+")
 
@@ -77,28 +80,48 @@ def leader_clusters(df: DataFrame, block: str, uid: str, title: str, seq: str, t
     return df.select(*use).groupBy(block).applyInPandas(run, f"uid {kind}, leader {kind}")
 
 
-def first_by_either_key(df: DataFrame, uid: str, id_key: str, title_key: str, seq: str, block: str) -> DataFrame:
-    """(uid, leader) where a row joins the first kept row with its id or its title; a dropped row's own keys count for nothing.
+#: Undecided key pairs up to which first_by_either_key lets one task finish; each round above it runs over all executors.
+ALONE = 20_000
 
-    ``block`` is any coarser key that rows of equal id and rows of equal title share.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq)
-        by_id: dict = {}
-        by_title: dict = {}
-        out = []
-        for u, i, t in zip(pdf[uid], pdf[id_key], pdf[title_key]):
-            lead = by_id.get(i) if i else None
-            lead = lead if lead is not None else (by_title.get(t) if t else None)
-            if lead is None:
-                lead = u
-                if i:
-                    by_id[i] = u
-                if t:
-                    by_title[t] = u
-            out.append((u, lead))
-        return pd.DataFrame(out, columns=["uid", "leader"])
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The leading pairs among a few, in order."""
+    seen: tuple[set, set] = set(), set()
+    out = []
+    for o, i, t in pdf.sort_values("o")[["o", "i", "t"]].itertuples(index=False):
+        i, t = (k if isinstance(k, str) else None for k in (i, t))
+        if i not in seen[0] and t not in seen[1]:
+            out.append((o, i, t))
+            seen[0].update([i] if i else [])
+            seen[1].update([t] if t else [])
+    return pd.DataFrame(out, columns=["o", "i", "t"])
 
-    kind = dict(df.dtypes)[uid]
-    return df.select(*dict.fromkeys([uid, id_key, title_key, seq, block])).groupBy(block).applyInPandas(run, f"uid {kind}, leader {kind}")
+
+def first_by_either_key(df: DataFrame, uid: str, id_key: str, title_key: str, seq: str, alone: int = ALONE) -> DataFrame:
+    """(uid, leader) where a row joins the first kept row with its id, else the one with its title; a dropped row's own keys
+    count for nothing. Null and empty keys match nothing. ``seq`` is unique.
+
+    Only the first row of each pair of keys can lead. In a round, a pair that is the first undecided one of both its id and
+    its title leads, and the undecided pairs that share a key with it fall; what is left below ``alone`` is walked in order.
+    """
+    blank = lambda c: F.when(F.col(c) != "", F.col(c))
+    rows = df.select(F.col(uid).alias("uid"), blank(id_key).alias("i"), blank(title_key).alias("t"), F.col(seq).alias("o"))
+    left = cut_lineage(rows.where("i is not null or t is not null").groupBy("i", "t").agg(F.min("o").alias("o")))
+    found = []
+    while left.count() > alone:
+        first = lambda k: left.where(f"{k} is not null").groupBy(k).agg(F.min("o").alias(f"first_{k}"))  # noqa: B023, E731
+        marked = left.join(first("i"), "i", "left").join(first("t"), "t", "left")
+        leads = cut_lineage(marked.where("o = coalesce(first_i, o) and o = coalesce(first_t, o)").select("o", "i", "t"))
+        found.append(leads)
+        for k in ("i", "t"):
+            left = left.join(leads.where(f"{k} is not null").select(k), k, "left_anti")
+        left = cut_lineage(left)
+    kinds = dict(left.dtypes)
+    leads = left.select("o", "i", "t").groupBy().applyInPandas(_walk, f"o {kinds['o']}, i string, t string")
+    for more in found:
+        leads = leads.unionByName(more)
+    leads = cut_lineage(leads.join(rows.select("uid", "o"), "o"))
+    for k in ("i", "t"):
+        rows = rows.join(leads.where(f"{k} is not null").select(k, F.struct("o", "uid").alias(f"by_{k}")), k, "left")
+    earlier = lambda c: F.when(F.col(c)["o"] <= F.col("o"), F.col(c)["uid"])
+    return rows.select("uid", F.coalesce(earlier("by_i"), earlier("by_t"), "uid").alias("leader"))

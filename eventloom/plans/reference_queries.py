@@ -281,10 +281,11 @@ def leader_cluster_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("paper_dedup")
 def paper_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Papers by product id or title, within a day of saving."""
+    """Papers by product id or title, over the whole table in the order of the rows."""
     rows = _std(spark, d).where(F.lower(F.trim("module")) == "paper")
-    rows = rows.select("row_id", F.lower(F.coalesce("product", F.lit(""))).alias("pid"), F.regexp_replace(F.lower("title"), r"[^a-z0-9\x{4e00}-\x{9fa5}]+", "").alias("tkey"), "added_at")
-    return clusters.first_by_either_key(rows, "row_id", "pid", "tkey", "row_id", "added_at")
+    pid = F.regexp_replace(F.lower("product"), "^arxiv:", "")
+    tkey = F.trim(F.regexp_replace(F.lower("title"), r"[^a-z0-9\x{4e00}-\x{9fa5}]+", " "))
+    return clusters.first_by_either_key(rows.select("row_id", pid.alias("pid"), tkey.alias("tkey")), "row_id", "pid", "tkey", "row_id")
 
 
 # ---- state ------------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from eventloom.operators import clusters, joins, lookups, memory, merge, metrics, ranking
+from eventloom.plans import reference_queries
 
 
 def rows(df):
@@ -119,3 +120,29 @@ def test_quality_metrics_empty_and_filled(spark):
     day = dt.datetime(2026, 1, 20)
     got = metrics.quality_metrics(spark.createDataFrame([(4.0, 4.2, day), (2.0, 4.0, day), (3.0, 2.0, day), (None, None, day)], kind), now, 30).first()
     assert (got.total, got.consistency, got.satisfaction) == (4, 33.3, 66.7)
+
+
+def plain_first_by_either_key(pairs):
+    by_id, by_title, out = {}, {}, []
+    for k, (i, t) in enumerate(pairs):
+        lead = (by_id.get(i) if i else None) if (by_id.get(i) if i else None) is not None else (by_title.get(t) if t else None)
+        if lead is None:
+            lead = k
+            by_id |= {i: k} if i else {}
+            by_title |= {t: k} if t else {}
+        out.append((k, lead))
+    return out
+
+
+def test_first_by_either_key_is_a_plain_scan_of_all_rows(spark):
+    rng = random.Random(3)
+    pairs = [(rng.choice([None, "", *(f"i{k}" for k in range(60))]), rng.choice([None, "", *(f"t{k}" for k in range(80))])) for _ in range(200)]
+    df = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(pairs)], "row long, i string, t string")
+    for alone in (0, 30, 1000):
+        assert rows(clusters.first_by_either_key(df, "row", "i", "t", "row", alone)) == plain_first_by_either_key(pairs)
+
+
+def test_papers_saved_on_different_days_are_compared(spark, tmp_path):
+    data = [(1, "paper", "PX-1", "A b", "2026-01-01"), (2, "paper", "arxiv:px-1", "other", "2026-01-02"), (3, "paper", None, "a  B!", "2026-01-03"), (4, "paper", "px-2", "other", "2026-01-04"), (5, "policy", "px-1", "a b", "2026-01-05")]
+    spark.createDataFrame(data, "row_id long, module string, product string, title string, added_at string").write.parquet(f"{tmp_path}/standard_events.parquet")
+    assert rows(reference_queries.paper_dedup(spark, str(tmp_path))) == [(1, 1), (2, 1), (3, 1), (4, 4)]
