@@ -34,8 +34,9 @@ def alike(a: str | None, b: str | None) -> float:
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
-def assign_leaders(titles: list[str | None], keys: list[str | None], threshold: float) -> list[int]:
-    """For each row in order, the number of its leader: the first with its strong key, else the first alike enough."""
+def assign_leaders(titles: list[str | None], keys: list[str | None], threshold: float | None) -> list[int]:
+    """For each row in order, the number of its leader: the first with its strong key, else the first alike enough (with no
+    threshold, none is)."""
     leaders_by_key: dict[str, int] = {}
     index: dict[str, list[int]] = defaultdict(list)
     sets: list[frozenset[str]] = [tokens(t) for t in titles]
@@ -43,7 +44,7 @@ def assign_leaders(titles: list[str | None], keys: list[str | None], threshold:
     out = []
     for k, (title, key) in enumerate(zip(titles, keys)):
         leader = leaders_by_key.get(key) if key else None
-        if leader is None and title:
+        if leader is None and title and threshold is not None:
             best = exact.get(title.lower())
             mine = sets[k]
             # two sets alike share at least one of any |mine| - ceil(threshold * |mine|) + 1 tokens
@@ -65,14 +66,18 @@ def assign_leaders(titles: list[str | None], keys: list[str | None], threshold:
     return out
 
 
-def leader_clusters(df: DataFrame, block: str, uid: str, title: str, seq: str, threshold: float, strong_key: str | None = None) -> DataFrame:
-    """(uid, leader): the leader's uid for every row, within its block, in the order of ``seq``."""
-    use = list(dict.fromkeys([block, uid, title, seq] + ([strong_key] if strong_key else [])))
+def leader_clusters(df: DataFrame, block: str, uid: str, title: str, seq: str, threshold: float | str, strong_key: str | None = None) -> DataFrame:
+    """(uid, leader): the leader's uid for every row, within its block, in the order of ``seq``.
+
+    ``threshold`` may name a column that is the same throughout a block; null there leaves the strong key alone.
+    """
+    use = list(dict.fromkeys([block, uid, title, seq] + [c for c in (strong_key, threshold) if isinstance(c, str)]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(seq)
         keys = pdf[strong_key].tolist() if strong_key else [None] * len(pdf)
-        numbers = assign_leaders(pdf[title].tolist(), keys, threshold)
+        least = pdf[threshold].iloc[0] if isinstance(threshold, str) else threshold
+        numbers = assign_leaders(pdf[title].tolist(), keys, None if pd.isna(least) else float(least))
         uids = pdf[uid].to_numpy()
         return pd.DataFrame({"uid": uids, "leader": uids[numbers]})
 

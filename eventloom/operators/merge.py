@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.dates import time_bucket
-from eventloom.functions.text import dedup_key
+from eventloom.functions.text import core_noun, dedup_key
 from eventloom.functions.web import url_host, url_key
 
 EVIDENCE = "array<struct<url:string,source_type:string,name:string,credibility_score:double,published_at:string>>"
@@ -75,6 +75,14 @@ def cross_source_key(category: Column, company: Column, product: Column, title:
     return F.when((category == "opensource") & (repo != ""), F.concat(F.lit("opensource|"), repo)).when(key != "", other)
 
 
+def strong_key(category: Column, company: Column, product: Column, title: Column) -> Column:
+    """The key under which events of one run are surely one: category, company and noun, empty parts left out. The noun is
+    the product of repositories and papers, else the title's core noun or the product."""
+    given = lambda c: F.when(c != "", c)
+    noun = F.when(category.isin("opensource", "paper"), given(product)).otherwise(F.coalesce(given(core_noun(title)), given(product)))
+    return F.concat_ws("|", given(category), given(company), noun)
+
+
 def merge_cross_source(df: DataFrame, key: Column, seq: str) -> DataFrame:
     """One row for each key: the first one's, with the longest description (the earliest of equals), the first company and
     product that are given, and all evidence. Rows without key pass."""

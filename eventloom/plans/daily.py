@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from eventloom.functions.records import accuracy, half_up, importance, passes_rules, scored_sources
 from eventloom.functions.dates import flexible_date, source_has_date
 from eventloom.functions.text import dedup_key, strip
-from eventloom.operators import memory, merge, ranking
+from eventloom.operators import clusters, lookups, memory, merge, ranking
 
 #: Days of the display window, by category.
 WINDOW_DAYS = {"paper": 7, "enterprise": 5, "opensource": 1}
+#: Likeness from which two titles of a run are one story; titles of repositories are made by rule and are not compared.
+LIKE, LIKE_PAPER = 0.55, 0.72
 
 
 def daily_candidates(events: DataFrame, day: Column, days: int = 7) -> DataFrame:
@@ -55,6 +57,17 @@ def scored(events: DataFrame) -> DataFrame:
     return events.withColumn("accuracy_score", acc).withColumn("importance_score", importance(F.col("accuracy_score"), F.col("source"), F.col("sub_tags"), F.col("category"), dated))
 
 
+def run_leaders(rows: DataFrame, run: Column, pool: DataFrame | None = None) -> DataFrame:
+    """(uid, leader) of standardised events by ``row_id``: the first of the run and category with its strong key, else the first
+    with a title like it. Companies are named as in ``pool`` where it is given, else as typed."""
+    named = rows.select("row_id", "category", "company", "product", "title", run.alias("run"))
+    named = named.withColumn("company_norm", F.col("company")) if pool is None else lookups.first_alias_match(named, "company", pool)
+    like = F.when(F.col("category") == "paper", F.lit(LIKE_PAPER)).when(F.coalesce(F.col("category") != "opensource", F.lit(True)), F.lit(LIKE))
+    key = merge.strong_key(F.col("category"), F.col("company_norm"), F.col("product"), F.col("title"))
+    blocks = named.select(F.to_json(F.struct("category", "run")).alias("block"), "row_id", "title", key.alias("key"), like.alias("like"))
+    return clusters.leader_clusters(blocks, "block", "row_id", "title", "row_id", "like", "key")
+
+
 def report_picks(events: DataFrame, report_date: str, reported: DataFrame | None = None, n: int = 5) -> DataFrame:
     """The whole chain from saved events to ranked picks of one day."""
     day = F.lit(report_date)

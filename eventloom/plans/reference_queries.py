@@ -274,9 +274,9 @@ def title_similarity_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("leader_cluster_dedup")
 def leader_cluster_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Leaders of titles within (category, company, day of saving): the block that a daily run's own rows form."""
-    rows = _std(spark, d).select(F.concat_ws("|", F.lower(F.trim("module")), F.lower(F.trim(F.coalesce("company", F.lit("")))), "added_at").alias("block"), "row_id", "title")
-    return clusters.leader_clusters(rows, "block", "row_id", "title", "row_id", 0.55)
+    """Leaders of the events of each run, as the reference merges them: its rule is applied to the events of one run, and
+    ``added_at`` is the run's day."""
+    return daily.run_leaders(daily.standardise(_std(spark, d)), F.col("added_at"), table(spark, d, "enterprise_pool"))
 
 
 @query("paper_dedup")

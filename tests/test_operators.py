@@ -146,3 +146,28 @@ def test_papers_saved_on_different_days_are_compared(spark, tmp_path):
     data = [(1, "paper", "PX-1", "A b", "2026-01-01"), (2, "paper", "arxiv:px-1", "other", "2026-01-02"), (3, "paper", None, "a  B!", "2026-01-03"), (4, "paper", "px-2", "other", "2026-01-04"), (5, "policy", "px-1", "a b", "2026-01-05")]
     spark.createDataFrame(data, "row_id long, module string, product string, title string, added_at string").write.parquet(f"{tmp_path}/standard_events.parquet")
     assert rows(reference_queries.paper_dedup(spark, str(tmp_path))) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_run_leaders_follow_the_rule_of_the_reference(spark, tmp_path):
+    data = [
+        (1, "enterprise", "Acme raises money for robots", "Acme", None, "d1"),
+        (2, "enterprise", "Acme raises money for robots", "ACME Inc", None, "d1"),  # equal title, company typed differently
+        (3, "enterprise", "Acme raises money for robots", None, None, "d2"),  # another run
+        (4, "enterprise", "One two three four five six unified agent kernel", "the acme group", None, "d1"),
+        (5, "enterprise", "Zebra unified agent kernel", "Acme", "x", "d1"),
+        (6, "paper", "a b c d e f g", None, "p1", "d1"),
+        (7, "paper", "a b c d e f h", None, "p2", "d1"),  # 6 of 8 tokens: 0.75
+        (8, "paper", "a b c d e x y", None, "p3", "d1"),  # 5 of 9: below both
+        (9, "paper", "a b c d e f z w", None, "p4", "d1"),  # 6 of 9: 0.67, enough elsewhere but not for papers
+        (10, "paper", "quite another", None, "p1", "d1"),  # the id of 6
+        (11, "opensource", "Repository r/a updated", None, "r/a", "d1"),
+        (12, "opensource", "Repository r/a updated", None, "r/b", "d1"),
+        (13, "opensource", "other words", None, "r/a", "d1"),
+        (14, "enterprise", "智能体平台", "Acme", None, "d1"),
+        (15, "enterprise", "智能体平台！new", "acme", None, "d1"),  # the strong key of 14
+    ]
+    std = "row_id long, module string, title string, company string, product string, added_at string, time string, source array<struct<url:string,source_type:string,name:string,credibility_score:double,published_at:string>>"
+    spark.createDataFrame([(*r, None, None) for r in data], std).write.parquet(f"{tmp_path}/standard_events.parquet")
+    spark.createDataFrame([(1, "Acme", ["acme"])], "company_id long, company string, aliases array<string>").write.parquet(f"{tmp_path}/enterprise_pool.parquet")
+    got = dict(rows(reference_queries.leader_cluster_dedup(spark, str(tmp_path))))
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9, 10: 6, 11: 11, 12: 12, 13: 11, 14: 14, 15: 14}
