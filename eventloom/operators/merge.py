@@ -83,6 +83,19 @@ def strong_key(category: Column, company: Column, product: Column, title: Column
     return F.concat_ws("|", given(category), given(company), noun)
 
 
+def merge_leaders(df: DataFrame, leaders: DataFrame, uid: str) -> DataFrame:
+    """One row for each leader of ``leaders`` (uid, leader): its own, with the longest description (the earliest of equals),
+    all evidence, and the first entities that are given. Leaders come first in the order of ``uid``."""
+    rows = df.join(leaders.select(F.col("uid").alias(uid), F.col("leader").alias("_leader")), uid)
+    made = {
+        "description": F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), -F.col(uid))),
+        "source": merge_evidence(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(uid).alias("q"), F.coalesce("source", F.array().cast(EVIDENCE)).alias("s")))), lambda x: x["s"]))),
+        "entities": F.min_by("entities", F.when(F.size("entities") > 0, F.col(uid))),
+    }
+    others = [c for c in df.columns if c != uid]  # uid comes last: an alias before the others would hide the column from them
+    return rows.groupBy("_leader").agg(*[made.get(c, F.min_by(c, uid)).alias(c) for c in others], F.min(uid).alias(uid)).select(*df.columns)
+
+
 def merge_cross_source(df: DataFrame, key: Column, seq: str) -> DataFrame:
     """One row for each key: the first one's, with the longest description (the earliest of equals), the first company and
     product that are given, and all evidence. Rows without key pass."""

@@ -1,4 +1,4 @@
-"""The daily dataflow as one lazy plan: window, score, memory, anti-join with keep-best, rank."""
+"""The daily dataflow as one lazy plan: window, merge, score, memory, anti-join with keep-best, rank."""
 
 from __future__ import annotations
 
@@ -68,13 +68,22 @@ def run_leaders(rows: DataFrame, run: Column, pool: DataFrame | None = None) ->
     return clusters.leader_clusters(blocks, "block", "row_id", "title", "row_id", "like", "key")
 
 
-def report_picks(events: DataFrame, report_date: str, reported: DataFrame | None = None, n: int = 5) -> DataFrame:
-    """The whole chain from saved events to ranked picks of one day."""
+def reported_keys(events: DataFrame, report_date: str) -> DataFrame:
+    """(report_date, category, key) of the saved events that reports before ``report_date`` had; ``added_at`` is the report's day."""
+    rows = standardise(events.where((F.col("status") == "reported") & (F.col("added_at") < report_date)))
+    return rows.select(F.col("added_at").alias("report_date"), "category", dedup_key("title").alias("key")).where("key <> ''").distinct()
+
+
+def report_picks(events: DataFrame, report_date: str, reported: DataFrame | None = None, n: int = 5, pool: DataFrame | None = None) -> DataFrame:
+    """The whole chain from saved events to ranked picks of one day. The events in the window are the day's run: stories alike
+    are merged, then equal keys of several sources, before the rules apply; what ``reported`` (report_date, category, key)
+    has is left out."""
     day = F.lit(report_date)
     rows = merge.latest(standardise(events), ["event_id"], ["row_id"])
-    rows = rows.where(passes_rules(F.col("title"), F.col("description"), F.col("source")))
     rows = ranking.in_window(rows, day, "time", "category", WINDOW_DAYS)
+    rows = merge.merge_leaders(rows, run_leaders(rows, day, pool), "row_id")
     merged = merge.merge_cross_source(rows, merge.cross_source_key(F.col("category"), F.col("company"), F.col("product"), F.col("title"), day, F.col("time")), "row_id")
+    merged = merged.where(passes_rules(F.col("title"), F.col("description"), F.col("source")))
     merged = scored(merged).withColumn("key", dedup_key("title"))
     order = [F.col("importance_score").desc(), F.col("row_id")]
     if reported is not None:

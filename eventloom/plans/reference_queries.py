@@ -621,5 +621,7 @@ def standardize_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query("report_picks")
 def report_picks(spark: SparkSession, d: str) -> DataFrame:
-    """The whole daily chain over the saved events."""
-    return daily.report_picks(_std(spark, d), AS_OF).select("category", "rank_no", "row_id", "title", "importance_score")
+    """The whole daily chain over the saved events, less what reports of earlier days had."""
+    rows = _std(spark, d)
+    picks = daily.report_picks(rows, AS_OF, daily.reported_keys(rows, AS_OF), pool=table(spark, d, "enterprise_pool"))
+    return picks.select("category", "rank_no", "row_id", "title", "importance_score")

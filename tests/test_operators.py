@@ -171,3 +171,18 @@ def test_run_leaders_follow_the_rule_of_the_reference(spark, tmp_path):
     spark.createDataFrame([(1, "Acme", ["acme"])], "company_id long, company string, aliases array<string>").write.parquet(f"{tmp_path}/enterprise_pool.parquet")
     got = dict(rows(reference_queries.leader_cluster_dedup(spark, str(tmp_path))))
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9, 10: 6, 11: 11, 12: 12, 13: 11, 14: 14, 15: 14}
+
+
+def test_report_picks_merge_stories_alike_and_leave_out_reported_ones(spark, tmp_path):
+    source = lambda u: [(f"https://{u}.com/2026/08/31/a", "official", u, 5.0, "2026-08-31")]
+    data = [
+        (1, "e1", "Acme opens a new robot factory", "Acme", "2026-08-31", "processed", source("a")),
+        (2, "e2", "Acme opens a new robot plant", None, "2026-08-30", "processed", source("b")),  # like 1
+        (3, "e3", "Zeta buys the museum archive", "Zeta", "2026-08-31", "processed", source("c")),
+        (4, "e4", "Zeta buys the museum archive!", "Zeta", "2026-08-29", "reported", source("d")),  # so 3 was reported
+    ]
+    std = "row_id long, event_id string, title string, company string, added_at string, status string, source array<struct<url:string,source_type:string,name:string,credibility_score:double,published_at:string>>"
+    df = spark.createDataFrame(data, std).withColumns({"module": F.lit("enterprise"), "time": F.lit("2026-08-31"), "product": F.lit(None).cast("string"), "sub_type": F.lit(None).cast("string"), "description": F.lit("words"), "sub_tags": F.array().cast("array<string>"), "entities": F.create_map().cast("map<string,string>")})
+    df.write.parquet(f"{tmp_path}/standard_events.parquet")
+    spark.createDataFrame([(1, "Acme", ["acme"])], "company_id long, company string, aliases array<string>").write.parquet(f"{tmp_path}/enterprise_pool.parquet")
+    assert [(r.rank_no, r.row_id) for r in reference_queries.report_picks(spark, str(tmp_path)).collect()] == [(1, 1)]
