@@ -251,9 +251,9 @@ def source_merge_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("row_id", F.array_join(F.transform("m", lambda s: F.concat(s["url"], F.lit("="), F.coalesce(s["name"], F.lit("")))), " ").alias("merged"))
 
 
-@query("upsert_latest", "SELECT event_id, row_id, status, importance_score AS score FROM standard_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY row_id DESC) = 1")
+@query("upsert_latest", "SELECT event_id, row_id, status, CASE WHEN NOT isnan(importance_score) THEN importance_score END AS score FROM standard_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY row_id DESC) = 1")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
-    rows = _std(spark, d).select("event_id", "row_id", "status", F.col("importance_score").alias("score"))
+    rows = _std(spark, d).select("event_id", "row_id", "status", F.nanvl("importance_score", F.lit(None).cast("double")).alias("score"))
     cut = rows.agg(F.max("row_id").alias("m"))
     both = rows.crossJoin(F.broadcast(cut))
     old, new = (merge.latest(both.where(c).drop("m"), ["event_id"], ["row_id"]) for c in (F.col("row_id") <= F.col("m") / 2, F.col("row_id") > F.col("m") / 2))
@@ -589,10 +589,11 @@ def recent_runs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "event_type")
 
 
-@query("dynamic_filter", "SELECT row_id, event_id, importance_score AS score FROM standard_events WHERE module = 'enterprise' AND status = 'reported'")
+@query("dynamic_filter", "SELECT row_id, event_id, CASE WHEN NOT isnan(importance_score) THEN importance_score END AS score FROM standard_events WHERE module = 'enterprise' AND status = 'reported'")
 def dynamic_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = lookups.matching(_std(spark, d), module="enterprise", status="reported", time=None)
-    return rows.orderBy(F.desc("importance_score"), "row_id").select("row_id", "event_id", F.col("importance_score").alias("score"))
+    rows = rows.select("row_id", "event_id", F.nanvl("importance_score", F.lit(None).cast("double")).alias("score"))
+    return rows.orderBy(F.desc_nulls_last("score"), "row_id")
 
 
 @query("point_lookup", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7")
