@@ -1,14 +1,17 @@
 """Timestamps in mixed formats, precisions and zones, brought to microseconds of the UTC epoch.
 
-Each value yields an array of all its valid interpretations (instant, order family, prior cost). The feed's own
-settings (zone, order of all-numeric dates) are the prior. A source's values are then read in record order and the
-cheapest path through the interpretations is taken (Viterbi): a change of order family and a backward jump in time
-cost extra. An interpretation whose prior exceeds the best one's by more than all transitions around it can save is
-dominated and dropped before the search, so a value whose feed settles its meaning is an anchor.
-
-The search is exact and distributed. Records are cut into blocks by record id; per block a matrix of cheapest costs
-from each first to each last interpretation is built, the matrices of one source are combined in (min, +), and each
-block is decoded between its now fixed ends. No task ever holds more than one block or one source's matrices.
+Each value yields an array of all its valid interpretations (instant, order family, prior cost). A source's values are
+then read in record order and the cheapest path through the interpretations is taken (Viterbi): a change of order family
+and a backward jump in time cost extra. What the feed states about itself (zone, order of all-numeric dates) enters as
+cost of the readings that it speaks against. That cost is decisive: to turn a run of k values against the feed costs
+5k, and the k + 1 transitions around and inside it save at most 2(k + 1) <= 4k. Where a feed states nothing, all readings
+start equal and the neighbours decide.
+
+The search is exact and distributed. Records are cut into blocks by record id. A value with one reading is an anchor;
+of a run of anchors only the first and the last touch the search, so the others are left out before it (their cost is
+the same on every path). Per block a matrix of cheapest costs from each first to each last interpretation is built, the
+matrices of one source are combined in (min, +), and each block is decoded between its now fixed ends. No task ever
+holds more than one block or one source's matrices.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from zoneinfo import ZoneInfo
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.session import broadcast_if_small, cut_lineage
@@ -32,13 +35,15 @@ from eventloom.session import broadcast_if_small, cut_lineage
 SWITCH, BACKWARD = 1.0, 1.0
 #: A later reading of the same source may lie this far back before it counts as a backward jump.
 BACK_SLACK_US = 36 * 3600 * 1_000_000
-#: Prior cost of a reading that the feed's own settings speak against; above all that transitions can save.
+#: Prior cost of a reading that the feed's own settings speak against; for any run of values above all that transitions can save.
 AGAINST_FEED = 2 * (SWITCH + BACKWARD) + 1.0
 #: Records in one block of the search.
 BLOCK = 20_000
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _US = timedelta(microseconds=1)
+#: The beginning of the year 1, before which nothing is a moment here.
+_FIRST_US = (datetime(1, 1, 1, tzinfo=timezone.utc) - _EPOCH) // _US
 
 # Month names of the languages that the feeds use.
 MONTHS = {
@@ -154,7 +159,7 @@ def interpretations(raw: str | None, feed_tz: str | None, date_order: str | None
     if raw is None:
         return []
     text = " ".join(unicodedata.normalize("NFKC", raw).lower().split())
-    if not text or len(text) > 64:
+    if not text:
         return []
     feed_tz = feed_tz or "UTC"
     if m := _RE_EPOCH.fullmatch(text):
@@ -164,8 +169,11 @@ def interpretations(raw: str | None, feed_tz: str | None, date_order: str | None
     if m := _RE_AGO.fullmatch(text):
         if fetched_us is None:
             return []
-        unit = (m.group(2) or m.group(4)).removesuffix("s")
-        return [("ago", fetched_us - int(m.group(1) or m.group(3)) * UNITS[unit] * 1_000_000, 0.0)]
+        unit, count = (m.group(2) or m.group(4)).removesuffix("s"), (m.group(1) or m.group(3)).lstrip("0") or "0"
+        if len(count) > 12:
+            return []  # before all calendars
+        back = fetched_us - int(count) * UNITS[unit] * 1_000_000
+        return [("ago", back, 0.0)] if back >= _FIRST_US else []
     days: list[tuple[str, int, int, int, float]] = []
     if m := _RE_BASIC.fullmatch(text) or _RE_YMD.fullmatch(text) or _RE_HAN.fullmatch(text):
         days.append(("ymd", int(m["y"]), int(m["m"]), int(m["d"]), 0.0))
@@ -202,17 +210,13 @@ def interpretations(raw: str | None, feed_tz: str | None, date_order: str | None
     return out
 
 
-def undominated(found: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
-    """Without readings that no cheapest path can contain, and without repeats of an instant."""
-    if len(found) < 2:
-        return found
-    best = min(c for _, _, c in found)
-    kept, seen = [], set()
+def distinct_readings(found: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
+    """One reading for each instant, the cheapest (of equals the first)."""
+    best: dict[int, tuple[str, int, float]] = {}
     for x in found:
-        if x[2] - best <= 2 * (SWITCH + BACKWARD) and x[1] not in seen:
-            seen.add(x[1])
-            kept.append(x)
-    return kept
+        if x[1] not in best or x[2] < best[x[1]][2]:
+            best[x[1]] = x
+    return list(best.values())
 
 
 FAMILIES = ("epoch", "ago", "ymd", "named", "dmy", "mdy")
@@ -231,7 +235,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             key = (value, zone, date_order)
             found = memo.get(key)
             if found is None:
-                found = undominated(interpretations(value, zone, date_order, at))
+                found = distinct_readings(interpretations(value, zone, date_order, at))
                 if not found or found[0][0] != "ago":
                     memo[key] = found
                 found = [{"family": _CODE[f], "us": us, "cost": c} for f, us, c in found]
@@ -265,7 +269,7 @@ def _step(prev: list, cur: list) -> np.ndarray:
 
 
 def _block_matrix(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rec_id")
+    pdf = pdf.sort_values("seq")
     seqs = [list(c) for c in pdf["cands"]]
     n = len(seqs[0])
     total = np.full((n, n), np.inf)
@@ -304,7 +308,8 @@ def _fix_ends(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _decode(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rec_id")
+    """The chosen instant of every record of a block that has several readings."""
+    pdf = pdf.sort_values("seq")
     seqs, first, last = [list(c) for c in pdf["cands"]], int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
     best = np.full(len(seqs[0]), np.inf)
     best[first] = 0.0
@@ -317,48 +322,43 @@ def _decode(pdf: pd.DataFrame) -> pd.DataFrame:
     for via in reversed(back):
         path.append(int(via[path[-1]]))
     path.reverse()
-    return pd.DataFrame({"tab": pdf["tab"], "rec_id": pdf["rec_id"], "instant_us": [s[k]["us"] for s, k in zip(seqs, path)]})
+    out = pd.DataFrame({"tab": pdf["tab"], "rec_id": pdf["rec_id"], "instant_us": [s[k]["us"] for s, k in zip(seqs, path)]})
+    return out[[len(s) > 1 for s in seqs]]
+
+
+def search_extent(cands: DataFrame) -> DataFrame:
+    """(source, dated, searched): the values of each source that name a moment, and those of several readings that the search decides."""
+    return cands.where(F.size("cands") > 0).groupBy("source").agg(F.count("*").alias("dated"), F.count_if(F.size("cands") > 1).alias("searched"))
 
 
 def choose(cands: DataFrame, block: int = BLOCK) -> DataFrame:
     """One instant for each record that has readings: (tab, rec_id, instant_us), by the cheapest path of its source.
 
-    Only blocks that hold a record with several readings are searched; of the others the first and last record are
-    kept as the context of their neighbours. Ties go to the reading that comes first.
+    All records with several readings are searched, with the anchors next to them and the ends of their block; sources
+    without such a record have nothing to search. Ties go to the reading that comes first.
     """
-    dated = cands.where(F.size("cands") > 0).withColumn("blk", F.floor(F.col("rec_id") / block).cast("bigint"))
-    dated = cut_lineage(dated)
-    open_ = dated.where(F.size("cands") > 1)
+    dated = cut_lineage(cands.where(F.size("cands") > 0).withColumn("blk", F.floor(F.col("rec_id") / block).cast("bigint")))
     sure = dated.where(F.size("cands") == 1).select("tab", "rec_id", F.col("cands")[0]["us"].alias("instant_us"))
-    if open_.isEmpty():
-        return sure
-    open_blocks = open_.select("source", "blk").distinct().withColumn("open", F.lit(True))
-    sources = open_blocks.select("source").distinct()
-    ctx = dated.join(sources, "source", "left_semi").join(open_blocks, ["source", "blk"], "left")
-    one = "source string, blk bigint, first {0}, last {0}, costs array<double>".format(_CAND)
-    searched = ctx.where("open").select("tab", "rec_id", "source", "blk", "cands").groupBy("source", "blk").applyInPandas(_block_matrix, one)
-    still = (
-        ctx.where("open is null")
-        .groupBy("source", "blk")
-        .agg(F.min_by("cands", "rec_id").alias("first"), F.max_by("cands", "rec_id").alias("last"))
-        .withColumn("costs", F.array(F.lit(0.0)))
-    )
-    ends = searched.unionByName(still).groupBy("source").applyInPandas(_fix_ends, "source string, blk bigint, a int, b int")
-    solved = (
-        ctx.where("open")
-        .join(ends, ["source", "blk"])
-        .groupBy("source", "blk")
-        .applyInPandas(_decode, "tab string, rec_id bigint, instant_us bigint")
+    open_ = dated.where(F.size("cands") > 1)
+    order = Window.partitionBy("source", "blk").orderBy("rec_id", "cands")
+    near = dated.join(open_.select("source").distinct(), "source", "left_semi").withColumns(
+        {"seq": F.row_number().over(order), "before": F.lag(F.size("cands")).over(order), "after": F.lead(F.size("cands")).over(order)}
     )
-    free = open_.select("tab", "rec_id")
-    return sure.unionByName(solved.join(free, ["tab", "rec_id"], "left_semi"))
+    near = near.where((F.size("cands") > 1) | F.coalesce(F.col("before") != 1, F.lit(True)) | F.coalesce(F.col("after") != 1, F.lit(True)))
+    near = cut_lineage(near.select("tab", "rec_id", "source", "blk", "seq", "cands"))
+    one = "source string, blk bigint, first {0}, last {0}, costs array<double>".format(_CAND)
+    matrices = near.groupBy("source", "blk").applyInPandas(_block_matrix, one)
+    ends = matrices.groupBy("source").applyInPandas(_fix_ends, "source string, blk bigint, a int, b int")
+    some = near.where(F.size("cands") > 1).select("source", "blk").distinct()
+    solved = near.join(ends.join(some, ["source", "blk"]), ["source", "blk"]).groupBy("source", "blk").applyInPandas(_decode, "tab string, rec_id bigint, instant_us bigint")
+    return sure.unionByName(solved)
 
 
 def normalise_timestamps(values: DataFrame, feeds: DataFrame, block: int = BLOCK) -> DataFrame:
     """(tab, rec_id, instant_us) of every value that names a moment or a full day.
 
-    ``values`` has tab, rec_id, feed_id, raw and fetched_at; other columns are ignored. A null raw value, an empty or
-    very long text and an unknown feed's relative value give no row; a feed that is unknown or has no zone counts as
+    ``values`` has tab, rec_id, feed_id, raw and fetched_at; other columns are ignored. A null raw value, an empty
+    text and a relative value without fetched_at give no row; texts are read whole, however long; a feed that is unknown or has no zone counts as
     UTC; repeated rows are each answered; an empty input gives an empty result.
     """
     return choose(candidates(values, feeds), block)

@@ -51,8 +51,42 @@ def test_no_moment(raw):
 
 def test_order_of_the_feed_decides():
     assert T.interpretations("13/02/2026", "UTC", "mdy", None) == []
-    assert len(T.undominated(T.interpretations("05/02/2026", "UTC", "dmy", None))) == 1
-    assert len(T.undominated(T.interpretations("05/02/2026", "UTC", None, None))) == 2
+    costs = lambda order: [c for _, _, c in T.distinct_readings(T.interpretations("05/02/2026", "UTC", order, None))]
+    assert costs("dmy") == [0.0, T.AGAINST_FEED] and costs(None) == [0.0, 0.0]
+    assert len(T.distinct_readings(T.interpretations("05/05/2026", "UTC", None, None))) == 1
+
+
+def test_long_values_are_read_whole():
+    assert T.interpretations("2026-02-06T13:08:18." + "1" * 50 + "Z", "UTC", "ymd", None)[0][1] == us(2026, 2, 6, 13, 8, 18) + 111111
+    assert T.interpretations("2026-02-06T13:08:18." + "1" * 50_000 + "Z", "UTC", "ymd", None)[0][1] == us(2026, 2, 6, 13, 8, 18) + 111111
+    assert T.interpretations("9" * 5000 + " days ago", "UTC", "ymd", us(2026, 1, 1)) == []
+    assert T.interpretations("0" * 80 + "3 days ago", "UTC", "ymd", us(2026, 1, 4))[0][1] == us(2026, 1, 1)
+
+
+def test_feeds_that_state_nothing_are_read_by_their_neighbours(spark):
+    """The order is that of the unambiguous neighbours; where the feed states one, no neighbour outweighs it."""
+    days = ["13/01/2026", "05/02/2026", "06/03/2026", "25/03/2026"]
+    rows = [("t", 10 * feed + k, feed, day) for feed in (1, 2, 3) for k, day in enumerate(days)]
+    rows += [("t", 40 + k, 4, d) for k, d in enumerate(["2026-02-01", "03/02/2026", "2026-02-05"])]
+    df = spark.createDataFrame(rows, "tab string, rec_id long, feed_id int, raw string").withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    feeds = spark.createDataFrame([(1, "UTC", None), (2, None, "dmy"), (3, "UTC", "mdy"), (4, "UTC", None)], "feed_id int, feed_tz string, date_order string")
+    for block in (2, 1000):
+        got = {r.rec_id: r.instant_us for r in T.normalise_timestamps(df, feeds, block).collect()}
+        for feed in (1, 2):
+            assert [got[10 * feed + k] for k in range(4)] == [us(2026, 1, 13), us(2026, 2, 5), us(2026, 3, 6), us(2026, 3, 25)]
+        assert [got.get(30 + k) for k in range(4)] == [None, us(2026, 5, 2), us(2026, 6, 3), None]
+        assert got[41] == us(2026, 2, 3)  # between its neighbours in time; the other reading is a backward jump
+    extent = {r.source: (r.dated, r.searched) for r in T.search_extent(T.candidates(df, feeds)).collect()}
+    assert extent == {"t|1": (4, 2), "t|2": (4, 2), "t|3": (2, 2), "t|4": (3, 1)}
+
+
+def test_the_feed_is_decisive_for_any_run(spark):
+    """Runs of values whose neighbours all speak for the other order keep the feed's."""
+    rows = [("t", 0, 1, "2026-01-01")] + [("t", k, 1, f"0{k % 9 + 1}/01/2026") for k in range(1, 30)] + [("t", 30, 1, "2026-01-02")]
+    df = spark.createDataFrame(rows, "tab string, rec_id long, feed_id int, raw string").withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    feeds = spark.createDataFrame([(1, "UTC", "mdy")], "feed_id int, feed_tz string, date_order string")
+    got = {r.rec_id: r.instant_us for r in T.normalise_timestamps(df, feeds, 7).collect()}
+    assert all(got[k] == us(2026, k % 9 + 1, 1) for k in range(1, 30))
 
 
 def test_relative():
