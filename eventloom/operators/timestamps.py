@@ -38,7 +38,7 @@ BACK_SLACK_US = 36 * 3600 * 1_000_000
 #: Prior cost of a reading that the feed's own settings speak against; for any run of values above all that transitions can save.
 AGAINST_FEED = 2 * (SWITCH + BACKWARD) + 1.0
 #: Records in one block of the search.
-BLOCK = 20_000
+BLOCK = 100_000
 
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 _US = timedelta(microseconds=1)
