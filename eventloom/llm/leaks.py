@@ -37,7 +37,8 @@ _HAN = "぀-ヿ㐀-鿿"
 _WORD = re.compile(rf"[^\W_{_HAN}]+|[{_HAN}]+")
 _INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
 _INVISIBLES = ("\u00ad", "\u200b", "\u200c", "\u200d", "\u200e", "\u200f", "\u2060", "\ufeff")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+#: A tag: short, or with attributes of any length.
+_TAG = re.compile(r"""</?[A-Za-z][^<>]{0,200}>|<[A-Za-z][\w:-]*(?:\s+[\w:.-]+\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>]+))+\s*/?>""")
 _HAN_RUN = re.compile(rf"[{_HAN}]+")
 _MARK = re.compile(r"[\W_]+")
 #: Bytes of text that are turned into words at a time.

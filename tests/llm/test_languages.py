@@ -41,6 +41,61 @@ def test_names_and_numbers_are_no_language(profiles):
     assert [x[2] for x in profiles.segments([listed], titles=False)[0]] == ["de"]
 
 
+SHORT = {"新模型发布了": "zh", "今天发布更新": "zh", "未命名事件": "zh", "Das Wetter.": "de", "こんにちは": "ja"}
+
+
+@pytest.mark.parametrize("text", SHORT)
+def test_short_texts_have_a_language(profiles, text):
+    assert [x[2] for x in profiles.segments([text], titles=True)[0]] == [SHORT[text]]
+
+
+def test_a_short_text_may_be_uncertain(profiles):
+    (found,) = profiles.segments(["Il fait beau."], titles=False)[0]
+    assert found[2] in L.LANGUAGES and 0 < found[3] <= 1
+
+
+OTHERS = ["Il modello è stato presentato ieri dai ricercatori italiani.", "De onderzoekers hebben gisteren een nieuw model gepresenteerd.", "Naukowcy zaprezentowali wczoraj nowy model językowy", "Исследователи представили новую модель.", "연구진이 새로운 모델을 발표했다."]
+
+
+def test_other_languages(spark):
+    """Prototypes of production size; Latin text far from all of them and other scripts are told apart from the seven."""
+    from pyspark.sql import functions as F
+
+    from eventloom.session import table
+
+    events = table(spark, "/root/testdata/sf0.01", "standard_events").select(F.col("row_id").alias("uid"), "lang", F.concat_ws("\n", "title", "description").alias("text"))
+    profiles = L.train_profiles(events)
+    for text in OTHERS:
+        assert [x[2] for x in profiles.segments([text], titles=False)[0]] == [L.OTHER]
+    for lang, ss in SENTENCES.items():
+        for s in ss:
+            assert [x[2] for x in profiles.segments([s], titles=False)[0]] == [lang]
+    for text, lang in (("速い", "ja"), ("Neues Modell Für Sprachen Vorgestellt", "de"), ("New Model Released", "en")):  # words in title case
+        assert [x[2] for x in profiles.segments([text], titles=True)[0]] == [lang]
+
+
+def test_a_corpus_without_labels():
+    """No label at all: the shipped sentences start the prototypes and the texts join by what is found."""
+    texts = [s for ss in SENTENCES.values() for s in ss]
+    for samples in ([], [("", t) for t in texts]):
+        profiles = L.Profiles.train(samples)
+        right = sum([x[2] for x in profiles.segments([s], titles=False)[0]] == [lang] for lang, ss in SENTENCES.items() for s in ss)
+        assert right >= (19 if samples else 17)
+
+
+def test_the_norm_is_that_of_the_bundled_vector():
+    """The score is the cosine of the text's own vector with the prototype: bundled letter by letter here."""
+    import numpy as np
+
+    text, dimensions = " the team said that the weather is the same as before ", 16_384
+    letters = np.random.default_rng(11).choice(np.array([-1, 1], dtype=np.float32), (64, dimensions))
+    codes = L._alphabet()[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)].astype(int)
+    vector = sum(np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(codes, codes[1:], codes[2:]) if b)
+    grams = L._trigrams(codes)
+    counts = np.unique(grams[grams > 0], return_counts=True)[1]
+    assert np.linalg.norm(vector) / np.sqrt(dimensions) == pytest.approx(np.sqrt((counts**2).sum()), rel=0.05)
+
+
 @pytest.mark.parametrize("label,want", [("zh-Hans-CN", "zh"), ("EN_gb", "en"), (" ", ""), (None, ""), ("und", ""), ("xx", "")])
 def test_labels(label, want):
     assert L.primary_subtag(label) == want
