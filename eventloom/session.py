@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension table may be broadcast. The rows of such tables (pool, feeds, evaluation
-#: items) are short, so the bound keeps a broadcast within a few MB; above it the join shuffles instead.
-BROADCAST_MAX_ROWS = 20_000
+#: Bytes up to which a table may be broadcast; above it the join shuffles instead.
+BROADCAST_MAX_BYTES = 32 << 20
 
 
 def get_spark(app: str = "eventloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,6 +28,7 @@ def get_spark(app: str = "eventloom", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -40,14 +41,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode,
+    which is removed at the end. A cluster without the setting is refused, since its executors share no local folder."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    path = os.path.join(tempfile.gettempdir(), "eventloom-checkpoints")
+    if given:
+        spark.sparkContext.setCheckpointDir(given)
+        return given
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="eventloom-checkpoints-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -58,9 +65,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else unchanged (the join then shuffles)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows take at most ``max_bytes``, else unchanged (the join then shuffles)."""
+    size = F.lit(16)
+    for field in df.schema.fields:
+        c, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        wide = {"string": lambda c: F.octet_length(c), "binary": lambda c: F.octet_length(c), "array": _json_length, "struct": _json_length, "map": _json_length}.get(kind)
+        size = size + F.lit(16) + (F.coalesce(wide(c), F.lit(0)) if wide else F.lit(0))
+    total = df.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if total <= max_bytes else df
+
+
+def _json_length(c: Column) -> Column:
+    return F.octet_length(F.to_json(F.struct(c.alias("v"))))
 
 
 _SHIPPED: set[str] = set()
