@@ -1,11 +1,12 @@
 """Near-duplicate records, by MinHash banding and verification on the full sets.
 
 A record's set holds its distinct words, and for Chinese and Japanese its distinct pairs of adjacent characters. Records
-with equal key (here: company) and equal set are one class; only one representative of a class goes on, so a group of
-copies costs one row. A representative's signature is cut into bands; band and row counts are chosen for the wanted
-recall at the threshold. Band hashes (with the key in them) are shuffled; two representatives that share one are a
-candidate pair. A sketch of one bit for each of 128 signature values drops most chance pairs; the rest is verified on the
-full sets. Sets are word hashes of 32 bits, computed for whole batches at once.
+with equal key (here: company) and equal set are one class, numbered by a hash of both; only one representative of a class
+goes on, so a group of copies costs one row, collapsed before the shuffle. A representative's signature is cut into bands;
+band and row counts are chosen for the wanted recall at the threshold. Band hashes (with the key in them) are shuffled; two
+representatives that share one are a candidate pair. Bands that very many share are split into cells. A sketch of one bit
+for each of 128 signature values drops most chance pairs; the rest is verified on the full sets. Sets are word hashes
+of 32 bits, computed for whole batches at once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.leaks import _HAN_LEAD, _Hasher, plain
-from eventloom.session import cut_lineage
+from eventloom.session import broadcast_if_small, cut_lineage
 
 THRESHOLD, RECALL = 0.7, 0.98
 #: Signature values at most; within that, the most selective plan that reaches the recall is taken.
@@ -112,9 +113,10 @@ def _sign(bands: int, rows: int):
                 weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
                 halves = [(bits[:, k : k + 64] * weights[None, :]).sum(axis=1, dtype=np.uint64).view(np.int64) for k in (0, 64)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(present) + 1, dtype=np.int32) * bands), pa.array(out.ravel().view(np.int32)))
+                carried = batch.select([0, *range(2, batch.num_columns)]).take(pa.array(present))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(present)), pa.array(total), pa.array(sizes), pa.array(halves[0]), pa.array(halves[1]), lists],
-                    names=["uid", "total", "n", "s1", "s2", "bands"],
+                    [*carried.columns, pa.array(total), pa.array(sizes), pa.array(halves[0]), pa.array(halves[1]), lists],
+                    names=[*carried.schema.names, "total", "n", "s1", "s2", "bands"],
                 )
 
     return run
@@ -131,59 +133,85 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), words], names=["uid", "words"])
 
 
-#: Bits of the sieve of wanted rows; with 64 to a row it is a table of at most so many / 64 rows, whatever the data.
-SIEVE_BITS = 1 << 23
+#: Bits of the sieve of wanted rows for each of them, and in all; with 64 to a row it is a table of at most so many / 64 rows.
+SIEVE_FOR_EACH, SIEVE_BITS = 16, 1 << 26
+#: Band rows for each partition of their shuffle.
+BAND_ROWS = 250_000
+#: A band counts as hot from so many classes in a sample of one in SAMPLED; its buckets are then joined in CELLS parts.
+SAMPLED, HOT, CELLS = 64, 32, 32
 
 
 def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose uid is in ``wanted``. A sieve of hashed bits, bounded by construction and therefore broadcast, keeps
-    most other rows out of the shuffle of the exact join that follows."""
-    place = lambda df: df.withColumn("_h", F.pmod(F.xxhash64("uid"), F.lit(SIEVE_BITS))).withColumn("_slot", F.expr("_h div 64")).withColumn("_bit", F.expr("cast(_h % 64 as int)"))
+    """The rows whose uid is in ``wanted`` (distinct uids). A sieve of hashed bits, sized by the number wanted and bounded,
+    keeps most other rows out of the shuffle of the exact join that follows; where it would be too full to help, the
+    join does without."""
+    count = wanted.count()
+    bits = min(SIEVE_BITS, -(-max(count, 1) * SIEVE_FOR_EACH // 64) * 64)
+    if count * 4 > bits:
+        return rows.join(wanted, "uid")
+    place = lambda df: df.withColumn("_h", F.pmod(F.xxhash64("uid"), F.lit(bits))).withColumn("_slot", F.expr("_h div 64")).withColumn("_bit", F.expr("cast(_h % 64 as int)"))
     sieve = place(wanted.select("uid")).groupBy("_slot").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask"))
     passed = place(rows).join(F.broadcast(sieve), "_slot").where(F.expr("shiftrightunsigned(_mask, _bit) & 1") == 1)
     # an inner join with distinct ids: a semi-join would be pushed below the sieve
-    return passed.select(*rows.columns).join(wanted.select("uid").distinct(), "uid")
+    return passed.select(*rows.columns).join(wanted, "uid")
 
 
-def near_duplicates(records: DataFrame, keys: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
-    """(links, members) for ``records`` (uid long, text) and ``keys`` (uid, key long); uid is unique in both.
+def bucket_pairs(flat: DataFrame, parts: int) -> DataFrame:
+    """(a, b), a < b: all classes that share a band, each pair at least once, from (cls, band).
 
-    ``members`` is (cls, uid): every record with words, by its class; ``cls`` is the smallest uid of the class. ``links``
-    is (a, b, similarity), a < b: pairs of class representatives of equal key that share at least ``threshold`` of all
-    that either has. Records without words or without key are in no class.
+    Hot bands are looked for in a sample of the classes (which bands are split changes no result); the classes in one are cut
+    into cells, and each cell meets the whole band in a task of its own.
     """
-    bands, rows = band_plan(threshold, recall, hashes)
-    rec = records.select("uid", "text").where("uid is not null and text is not null")
-    signed = cut_lineage(rec.mapInArrow(_sign(bands, rows), "uid bigint, total bigint, n int, s1 bigint, s2 bigint, bands array<int>"))
-    small = signed.select("uid", "total", "n").join(keys.select("uid", "key").where("key is not null"), "uid")
-    classes = small.groupBy("key", "total", "n").agg(F.min("uid").alias("cls"))
-    members = small.join(classes, ["key", "total", "n"]).select("cls", "uid")
-    reps = signed.select("uid", "bands").join(classes.select(F.col("cls").alias("uid"), "key"), "uid")
-    flat = reps.select("uid", "key", F.posexplode("bands").alias("no", "band")).select("uid", F.xxhash64("key", "no", "band").alias("band"))
-    pairs = (
-        flat.alias("l").join(flat.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.uid") < F.col("r.uid")))
-        .select(F.col("l.uid").alias("a"), F.col("r.uid").alias("b"))
-        .distinct()
+    hot = cut_lineage(flat.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLED)) == 0).groupBy("band").agg(F.count("*").alias("_n")).where(F.col("_n") >= HOT).select("band"))
+    pair = lambda l, r, on: (
+        l.alias("l").join(r.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [F.col("l.cls") < F.col("r.cls")]).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
     )
-    sketch = signed.select("uid", "s1", "s2")
+    if hot.isEmpty():
+        cold = flat.repartition(parts, "band")
+        return pair(cold, cold, ["band"])
+    known = broadcast_if_small(hot)
+    cold, warm = flat.join(known, "band", "left_anti").repartition(parts, "band"), flat.join(known, "band", "left_semi")
+    left = warm.withColumn("cell", F.pmod(F.xxhash64("cls"), F.lit(CELLS)).cast("int"))
+    right = warm.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+    return pair(cold, cold, ["band"]).unionByName(pair(left, right, ["band", "cell"]))
+
+
+def near_duplicates(
+    records: DataFrame, keys: DataFrame, carry: tuple[str, ...] = (), threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES
+) -> tuple[DataFrame, DataFrame]:
+    """(links, members) for ``records`` (uid long, label, text, *carry) and ``keys`` (label, key long); uid is unique in the
+    one, label in the other.
+
+    ``members`` is (cls, uid, *carry): every record with words, by its class. ``links`` is (a, b, similarity), a < b: pairs of
+    classes of equal key that share at least ``threshold`` of all that either has. Records without words or whose label has
+    no key are in no class.
+    """
+    bands, rows = band_plan(threshold, recall, hashes)
+    rec = records.select("uid", "text", "label", *carry).where("uid is not null and text is not null and label is not null")
+    kinds = dict(rec.dtypes)
+    shape = ", ".join(f"`{c}` {kinds[c]}" for c in ("uid", "label", *carry)) + ", total bigint, n int, s1 bigint, s2 bigint, bands array<int>"
+    signed = rec.mapInArrow(_sign(bands, rows), shape).join(broadcast_if_small(keys.select("label", "key").where("label is not null and key is not null")), "label")
+    signed = cut_lineage(signed.select("uid", *carry, F.xxhash64("key", "total", "n").alias("cls"), "key", "n", "s1", "s2", "bands"))
+    members = signed.select("cls", "uid", *carry)
+    parts = max(8, -(-signed.count() * bands // BAND_ROWS))
+    reps = signed.groupBy("cls").agg(F.min_by(F.struct("key", "bands"), "uid").alias("r")).select("cls", "r.*")
+    flat = reps.select("cls", "key", F.posexplode("bands").alias("no", "band")).select("cls", (F.xxhash64("key", "no", "band").bitwiseAND(F.lit((1 << 48) - 1))).alias("band"))
+    pairs = bucket_pairs(flat, parts).distinct()
+    sketch = signed.groupBy("cls").agg(F.min("uid").alias("uid"), F.max("n").alias("n"), F.max("s1").alias("s1"), F.max("s2").alias("s2"))
     agree = SKETCH_BITS - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) - F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
     likely = (
-        pairs.join(sketch.alias("x"), F.col("a") == F.col("x.uid"))
-        .join(sketch.alias("y"), F.col("b") == F.col("y.uid"))
-        .where(agree >= sketch_floor(threshold))
-        .select("a", "b")
+        pairs.join(sketch.alias("x"), F.col("a") == F.col("x.cls"))
+        .join(sketch.alias("y"), F.col("b") == F.col("y.cls"))
+        .where((agree >= sketch_floor(threshold)) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold - 1e-9))
+        .select("a", "b", F.col("x.uid").alias("ua"), F.col("y.uid").alias("ub"))
     )
     likely = cut_lineage(likely)
-    wanted = likely.select(F.col("a").alias("uid")).union(likely.select("b")).distinct()
-    sets = only_wanted(rec, wanted).select("uid", "text").mapInArrow(_sets, "uid bigint, words array<int>")
-    shared = F.size(F.array_intersect("x.words", "y.words"))
-    links = (
-        likely.join(sets.alias("x"), F.col("a") == F.col("x.uid"))
-        .join(sets.alias("y"), F.col("b") == F.col("y.uid"))
-        .select("a", "b", F.size("x.words").alias("m"), F.size("y.words").alias("n"), shared.alias("shared"))
-        .select("a", "b", (F.col("shared") / (F.col("m") + F.col("n") - F.col("shared"))).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
-    )
+    wanted = likely.select(F.col("ua").alias("uid"), F.col("a").alias("cls")).union(likely.select("ub", "b")).distinct()
+    found = only_wanted(rec.select("uid", "text"), wanted.select("uid")).select("uid", "text").mapInArrow(_sets, "uid bigint, words array<int>")
+    x, y = (found.withColumnRenamed("uid", u) for u in ("ua", "ub"))
+    both = likely.join(x.withColumnRenamed("words", "xs"), "ua").join(y.withColumnRenamed("words", "ys"), "ub")
+    shared = both.select("a", "b", (F.size("xs") + F.size("ys")).alias("total"), F.size(F.array_intersect("xs", "ys")).alias("shared"))
+    links = shared.select("a", "b", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold)
     return links, members
 
 
@@ -200,14 +228,13 @@ def event_pairs(events: DataFrame, companies: DataFrame) -> DataFrame:
     result. ``row_id`` must be unique.
     """
     told = events.where("event_id is not null").where(F.col("description").rlike(r"[^\s\x{00A0}\x{3000}]"))
-    records = told.select(F.col("row_id").alias("uid"), F.concat_ws(" \n ", "title", "description").alias("text"))
-    stated = told.select(F.col("row_id").alias("uid"), "company", blank_to_empty(F.col("company")).alias("plain"))
-    of = F.when(F.col("company_id") >= 0, F.col("company_id")).otherwise(F.xxhash64(F.lower("plain")))
-    keys = stated.where("plain <> ''").join(companies, "company").select("uid", of.alias("key"))
-    keys = keys.unionByName(stated.where("plain = ''").select("uid", F.lit(-2).cast("bigint").alias("key")))
-    links, members = near_duplicates(records, keys)
-    named = members.join(told.select(F.col("row_id").alias("uid"), "event_id"), "uid").select("cls", "event_id").distinct()
-    named = cut_lineage(named)
+    label = F.when(blank_to_empty(F.col("company")) == "", F.lit("")).otherwise(F.col("company"))
+    records = told.select(F.col("row_id").alias("uid"), label.alias("label"), F.concat_ws(" \n ", "title", "description").alias("text"), "event_id")
+    plain = F.lower(blank_to_empty(F.col("company")))
+    keys = companies.where(plain != "").select(F.col("company").alias("label"), F.when(F.col("company_id") >= 0, F.col("company_id")).otherwise(F.xxhash64(plain)).alias("key"))
+    keys = keys.unionByName(events.sparkSession.range(1).select(F.lit("").alias("label"), F.lit(-2).cast("bigint").alias("key")))
+    links, members = near_duplicates(records, keys, carry=("event_id",))
+    named = cut_lineage(members.select("cls", "event_id").distinct())
     left, right = named.alias("l"), named.alias("r")
     within = left.join(right, (F.col("l.cls") == F.col("r.cls")) & (F.col("l.event_id") < F.col("r.event_id"))).select(F.col("l.event_id").alias("event_a"), F.col("r.event_id").alias("event_b"))
     across = (

@@ -28,19 +28,48 @@ def make_records():
     return rows
 
 
+def linked(spark, rows):
+    df = spark.createDataFrame([(u, str(k), t) for u, k, t in rows], "uid long, label string, text string")
+    keys = df.select("label", F.col("label").cast("long").alias("key")).distinct()
+    links, members = neardup.near_duplicates(df, keys)
+    return {(r.a, r.b) for r in links.collect()}, {r.uid: r.cls for r in members.collect()}
+
+
+def wanted_links(rows, cls):
+    sets = {cls[u]: (k, frozenset(t.split())) for u, k, t in rows}
+    return {(a, b) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) / len(sets[a][1] | sets[b][1]) >= 0.7}
+
+
 def test_links_match_all_pairs(spark):
     rows = make_records()
-    df = spark.createDataFrame(rows, "uid long, key long, text string")
-    links, members = neardup.near_duplicates(df.select("uid", "text"), df.select("uid", "key"))
-    cls = {r.uid: r.cls for r in members.collect()}
-    got = {(r.a, r.b) for r in links.collect()}
-    sets = {u: (k, frozenset(t.split())) for u, k, t in rows}
+    got, cls = linked(spark, rows)
+    want = wanted_links(rows, cls)
     assert len(cls) == len(rows) and len({cls[u] for u, k, _ in rows if k == 9}) == 1
-    reps = sorted(set(cls.values()))
-    want = {(a, b) for a in reps for b in reps if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) / len(sets[a][1] | sets[b][1]) >= 0.7}
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_recall_at_the_threshold(spark):
+    """Pairs that share hardly more than the threshold, sketch included: 28 of 40 words."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(600):
+        base = [f"w{k}x{i}" for i in range(34)]
+        rows += [(2 * k, 1, " ".join(base)), (2 * k + 1, 1, " ".join(rng.sample(base[:28], 28) + [f"z{k}x{i}" for i in range(6)]))]
+    got, cls = linked(spark, rows)
+    want = wanted_links(rows[:400], cls)
+    assert len(want) == 200  # 28 of 40 in every pair
+    assert len(got) >= 0.96 * 600
+
+
+def test_hot_bands_are_split_and_lose_nothing(spark, monkeypatch):
+    rows = make_records()
+    plain, cls = linked(spark, rows)
+    monkeypatch.setattr(neardup, "SAMPLED", 1)
+    monkeypatch.setattr(neardup, "HOT", 2)
+    split, _ = linked(spark, rows)
+    assert split == plain and len(plain) > 50
+
+
 def test_events(spark):
     body = "The new model of the firm reads long texts and answers questions about them without any manual tuning today"
     events = [
@@ -55,7 +84,10 @@ def test_events(spark):
     assert neardup.event_pairs(df.limit(0), names).count() == 0
 
 
-def test_sieve_only_thins(spark):
+def test_sieve_only_thins(spark, monkeypatch):
     rows = spark.range(5000).withColumn("uid", F.col("id")).withColumn("text", F.lit("t")).select("uid", "text")
     wanted = spark.range(0, 5000, 7).select(F.col("id").alias("uid"))
     assert neardup.only_wanted(rows, wanted).count() == wanted.count()
+    monkeypatch.setattr(neardup, "SIEVE_BITS", 64)  # too full to help
+    assert neardup.only_wanted(rows, wanted).count() == wanted.count()
+    assert neardup.only_wanted(rows, wanted.limit(0)).count() == 0
