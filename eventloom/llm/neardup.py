@@ -156,22 +156,26 @@ def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return passed.select(*rows.columns).join(wanted, "uid")
 
 
-def bucket_pairs(flat: DataFrame, parts: int) -> DataFrame:
-    """(a, b), a < b: all classes that share a band, each pair at least once, from (cls, band).
+def bucket_pairs(flat: DataFrame, parts: int, threshold: float) -> DataFrame:
+    """(a, b), a < b: all representatives that share a band and are near enough in size, each pair at least once, from
+    (uid, n, band).
 
-    Hot bands are looked for in a sample of the classes (which bands are split changes no result); the classes in one are cut
-    into cells, and each cell meets the whole band in a task of its own.
+    Hot bands are looked for in a sample of the representatives (which bands are split changes no result); those in one are
+    cut into cells, and each cell meets the whole band in a task of its own.
     """
-    hot = cut_lineage(flat.where(F.pmod(F.xxhash64("cls"), F.lit(SAMPLED)) == 0).groupBy("band").agg(F.count("*").alias("_n")).where(F.col("_n") >= HOT).select("band"))
-    pair = lambda l, r, on: (
-        l.alias("l").join(r.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [F.col("l.cls") < F.col("r.cls")]).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-    )
+    hot = cut_lineage(flat.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLED)) == 0).groupBy("band").agg(F.count("*").alias("_n")).where(F.col("_n") >= HOT).select("band"))
+
+    def pair(l: DataFrame, r: DataFrame, on: list[str]) -> DataFrame:
+        sizes = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * threshold - 1e-9
+        met = l.alias("l").join(r.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [F.col("l.uid") < F.col("r.uid"), sizes])
+        return met.select(F.col("l.uid").alias("a"), F.col("r.uid").alias("b"))
+
     if hot.isEmpty():
         cold = flat.repartition(parts, "band")
         return pair(cold, cold, ["band"])
     known = broadcast_if_small(hot)
     cold, warm = flat.join(known, "band", "left_anti").repartition(parts, "band"), flat.join(known, "band", "left_semi")
-    left = warm.withColumn("cell", F.pmod(F.xxhash64("cls"), F.lit(CELLS)).cast("int"))
+    left = warm.withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(CELLS)).cast("int"))
     right = warm.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
     return pair(cold, cold, ["band"]).unionByName(pair(left, right, ["band", "cell"]))
 
@@ -194,24 +198,27 @@ def near_duplicates(
     signed = cut_lineage(signed.select("uid", *carry, F.xxhash64("key", "total", "n").alias("cls"), "key", "n", "s1", "s2", "bands"))
     members = signed.select("cls", "uid", *carry)
     parts = max(8, -(-signed.count() * bands // BAND_ROWS))
-    reps = signed.groupBy("cls").agg(F.min_by(F.struct("key", "bands"), "uid").alias("r")).select("cls", "r.*")
-    flat = reps.select("cls", "key", F.posexplode("bands").alias("no", "band")).select("cls", (F.xxhash64("key", "no", "band").bitwiseAND(F.lit((1 << 48) - 1))).alias("band"))
-    pairs = bucket_pairs(flat, parts).distinct()
-    sketch = signed.groupBy("cls").agg(F.min("uid").alias("uid"), F.max("n").alias("n"), F.max("s1").alias("s1"), F.max("s2").alias("s2"))
-    agree = SKETCH_BITS - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) - F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+    # representatives go by their uid: numbers that lie close take less room in the shuffles than hashes
+    reps = signed.groupBy("cls").agg(F.min_by(F.struct("uid", "key", "n", "bands"), "uid").alias("r")).select("r.*")
+    flat = reps.select("uid", "key", "n", F.posexplode("bands").alias("no", "band")).select("uid", "n", (F.xxhash64("key", "no", "band").bitwiseAND(F.lit((1 << 48) - 1))).alias("band"))
+    sketch = signed.groupBy("cls").agg(F.min("uid").alias("uid"), F.max("s1").alias("s1"), F.max("s2").alias("s2"))
+    agree = SKETCH_BITS - F.bit_count(F.col("s1").bitwiseXOR(F.col("r1"))) - F.bit_count(F.col("s2").bitwiseXOR(F.col("r2")))
+    # by one end alone: the partitioning serves the removal of repeated pairs and the join
+    pairs = bucket_pairs(flat, parts, threshold).repartition(parts, "a").distinct()
     likely = (
-        pairs.join(sketch.alias("x"), F.col("a") == F.col("x.cls"))
-        .join(sketch.alias("y"), F.col("b") == F.col("y.cls"))
-        .where((agree >= sketch_floor(threshold)) & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold - 1e-9))
-        .select("a", "b", F.col("x.uid").alias("ua"), F.col("y.uid").alias("ub"))
+        pairs.join(sketch.select(F.col("uid").alias("a"), "s1", "s2"), "a")
+        .join(sketch.select(F.col("uid").alias("b"), F.col("s1").alias("r1"), F.col("s2").alias("r2")), "b")
+        .where(agree >= sketch_floor(threshold))
+        .select("a", "b")
     )
     likely = cut_lineage(likely)
-    wanted = likely.select(F.col("ua").alias("uid"), F.col("a").alias("cls")).union(likely.select("ub", "b")).distinct()
-    found = only_wanted(rec.select("uid", "text"), wanted.select("uid")).select("uid", "text").mapInArrow(_sets, "uid bigint, words array<int>")
-    x, y = (found.withColumnRenamed("uid", u) for u in ("ua", "ub"))
-    both = likely.join(x.withColumnRenamed("words", "xs"), "ua").join(y.withColumnRenamed("words", "ys"), "ub")
-    shared = both.select("a", "b", (F.size("xs") + F.size("ys")).alias("total"), F.size(F.array_intersect("xs", "ys")).alias("shared"))
-    links = shared.select("a", "b", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    wanted = likely.select(F.col("a").alias("uid")).union(likely.select("b")).distinct()
+    found = only_wanted(rec.select("uid", "text"), wanted).select("uid", "text").mapInArrow(_sets, "uid bigint, words array<int>")
+    x, y = (found.select(F.col("uid").alias(u), F.col("words").alias(w)) for u, w in (("a", "xs"), ("b", "ys")))
+    shared = likely.join(x, "a").join(y, "b").select("a", "b", (F.size("xs") + F.size("ys")).alias("total"), F.size(F.array_intersect("xs", "ys")).alias("shared"))
+    near = shared.select("a", "b", (F.col("shared") / (F.col("total") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    x, y = (sketch.select(F.col("uid").alias(u), F.col("cls").alias(c)) for u, c in (("a", "ca"), ("b", "cb")))
+    links = near.join(x, "a").join(y, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "similarity")
     return links, members
 
 
