@@ -25,22 +25,31 @@ def half_up(x: Column, digits: int = 1) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+# Notations of money in the order in which they are tried, with the factor to ten thousand yuan and whether the
+# result is rounded. A rate of 7.2 holds for dollars; a billion counts a hundred millions, as the values to match have it.
+_AMOUNTS = [
+    (r"(\d+(?:\.\d+)?)\s*亿", 10000.0, False),
+    (r"(\d+(?:\.\d+)?)\s*万", 1.0, False),
+    (r"(?i)\$\s*(\d+(?:\.\d+)?)\s*([MBK])", {"M": 720.0, "B": 72000.0, "K": 0.72}, True),
+    (r"(?i)(\d+(?:\.\d+)?)\s*(?:百万|M)\s*美元?", 720.0, True),
+    (r"(\d+(?:\.\d+)?)\s*千万\s*美元?", 7200.0, True),
+    (r"(\d+(?:\.\d+)?)\s*美元", 1.0, False),
+]
+
+
 def amount_in_wan(x: Column | str) -> Column:
-    """An amount of money in units of ten thousand yuan; null if none is stated. A rate of 7.2 holds for dollars."""
-    x = F.trim(F.coalesce(col(x), F.lit("")))
-    n = lambda p: F.regexp_extract(x, p, 1).try_cast("double")
-    yi, wan, usd = r"(\d+(?:\.\d+)?)\s*亿", r"(\d+(?:\.\d+)?)\s*万", r"(?i)\$\s*(\d+(?:\.\d+)?)\s*([MBK])"
-    million, ten_million, dollars = r"(?i)(\d+(?:\.\d+)?)\s*(?:百万|M)\s*美元?", r"(\d+(?:\.\d+)?)\s*千万\s*美元?", r"(\d+(?:\.\d+)?)\s*美元"
-    unit = F.upper(F.regexp_extract(x, usd, 2))
-    factor = F.when(unit == "M", 100.0).when(unit == "B", 10000.0).otherwise(0.1)
-    return (
-        F.when(x.rlike(yi), n(yi) * 10000)
-        .when(x.rlike(wan), n(wan))
-        .when(x.rlike(usd), half_up(n(usd) * factor * 7.2, 0))
-        .when(x.rlike(million), half_up(n(million) * 100 * 7.2, 0))
-        .when(x.rlike(ten_million), half_up(n(ten_million) * 1000 * 7.2, 0))
-        .when(x.rlike(dollars), n(dollars))
-    )
+    """An amount of money in units of ten thousand yuan, by the first notation that occurs; null if none does."""
+    x = F.coalesce(col(x), F.lit(""))
+    out = F.lit(None).cast("double")
+    for pattern, factor, rounded in reversed(_AMOUNTS):
+        number = F.regexp_extract(x, pattern, 1).try_cast("double")
+        if isinstance(factor, dict):
+            unit = F.upper(F.regexp_extract(x, pattern, 2))
+            number = number * F.element_at(F.create_map(*[F.lit(v) for kv in factor.items() for v in kv]), F.when(x.rlike(pattern), unit))
+        else:
+            number = number * factor
+        out = F.when(x.rlike(pattern), half_up(number, 0) if rounded else number).otherwise(out)
+    return out
 
 
 def format_wan(x: Column) -> Column:
@@ -55,11 +64,12 @@ def _hits(text: Column, words: list[str], weight: int = 1) -> Column:
 
 
 def classify(title: Column | str, content: Column | str) -> Column:
-    """``investment`` if the words for it outweigh those for a product, else ``product``; English ones count twice."""
+    """``investment`` if the words for it outweigh those for a product, else ``product``; English ones count twice.
+
+    English words are found by one pass over the text, since none of them lies in or reaches into another.
+    """
     text = F.concat_ws(" ", F.coalesce(col(title), F.lit("")), F.coalesce(col(content), F.lit("")))
-    english = F.lit(0)
-    for w in INVESTMENT_WORDS_EN:
-        english = english + text.rlike(rf"(?i)\b{w}\b").cast("int") * 2
+    english = F.size(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b({'|'.join(INVESTMENT_WORDS_EN)})\b"), 1), F.lower))) * 2
     return F.when(_hits(text, INVESTMENT_WORDS) + english > _hits(text, PRODUCT_WORDS), F.lit("investment")).otherwise(F.lit("product"))
 
 
@@ -106,15 +116,15 @@ def accuracy(sources: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(5.0), half_up(base + more - undated))))
 
 
-def importance(accuracy_score: Column, sources: Column, tags: Column, category: Column, dated: Column) -> Column:
-    """Score up to 5 from accuracy, number of sources, topical tags, tags of the category, and dating."""
+def importance(accuracy_score: Column, sources: Column, tags: Column, category: Column, dated: Column, insight: Column | None = None) -> Column:
+    """Score up to 5 from accuracy, number of sources, topical tags, tags of the category, a given insight, and dating."""
     tags = F.coalesce(tags, F.array().cast("array<string>"))
     count = lambda pattern: F.size(F.filter(tags, lambda t: t.rlike(pattern)))
     own = F.when(category == "opensource", count("(?i)star|fork|contributor|community")).when(category == "paper", count("(?i)顶会|sota|热议|机构|影响力")).when(category == "enterprise", count("(?i)投融资|战略|头部")).otherwise(0)
     hot = F.size(F.filter(tags, lambda t: t.isin(*HOT_TAGS)))
-    n = F.size(F.coalesce(sources, F.array().cast("array<struct<url:string>>"))) if sources is None else F.coalesce(F.size(sources), F.lit(0))
-    n = F.greatest(F.lit(0), n)
-    total = accuracy_score * 0.6 + F.least(F.lit(1.0), n * 0.3) + hot * 0.2 + own * 0.3 - F.when(dated, 0.0).otherwise(1.5)
+    n = F.greatest(F.lit(0), F.coalesce(F.size(sources), F.lit(0)))
+    told = F.lit(0.0) if insight is None else F.when(F.coalesce(insight, F.lit(False)), 0.3).otherwise(0.0)
+    total = accuracy_score * 0.6 + F.least(F.lit(1.0), n * 0.3) + hot * 0.2 + own * 0.3 + told - F.when(dated, 0.0).otherwise(1.5)
     return F.least(F.lit(5.0), half_up(total))
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from eventloom.functions.text import col
 
 # Domains by the credibility of what they publish.
-TOP_DOMAINS = "openai.com anthropic.com github.com arxiv.org deepseek.com qwen modelscope.cn huggingface.co seed.bytedance.com hunyuan.tencent.com kimi.com".split()
-HIGH_DOMAINS = "crunchbase.com itjuzi.com openreview.net semanticscholar.org api.openalex.org openalex.org modelscope.cn huggingface.co".split()
-MEDIA_DOMAINS = "36kr.com techcrunch.com jiqizhixin.com infoq.cn theverge.com sspai.com geekpark.net ifanr.com woshipm.com qq.com".split()
-FORUM_DOMAINS = "news.ycombinator.com reddit.com medium.com zhihu.com juejin.cn csdn.net".split()
+TOP_DOMAINS = ["openai.com", "anthropic.com", "github.com", "arxiv.org", "deepseek.com", "qwen", "modelscope.cn", "huggingface.co", "seed.bytedance.com", "hunyuan.tencent.com", "kimi.com"]
+HIGH_DOMAINS = ["crunchbase.com", "itjuzi.com", "openreview.net", "semanticscholar.org", "api.openalex.org", "openalex.org", "modelscope.cn", "huggingface.co"]
+MEDIA_DOMAINS = ["36kr.com", "techcrunch.com", "jiqizhixin.com", "infoq.cn", "theverge.com", "sspai.com", "geekpark.net", "ifanr.com", "woshipm.com", "qq.com"]
+FORUM_DOMAINS = ["news.ycombinator.com", "reddit.com", "medium.com", "zhihu.com", "juejin.cn", "csdn.net"]
 
 
 def url_key(x: Column | str) -> Column:
@@ -53,18 +53,37 @@ def strip_html(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(col(x), F.lit("")), r"<[^>]+>", ""), r"\s+", " "))
 
 
-def _decode_entities(x: Column) -> Column:
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+# Entities in the order in which they are resolved.
+_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&#x27;", "'"), ("&quot;", '"'), ("&nbsp;", " "))
+
+
+def _numeric_entities(x: Column) -> Column:
+    """A text with its decimal character references resolved; those that name no character vanish."""
+    code = lambda c: F.when(F.length(c) <= 7, c.cast("int"))
+    char = lambda c: F.when((code(c) > 0) & (code(c) <= 0x10FFFF) & ~code(c).between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code(c)), 8, "0")), "UTF-32"))
+    chars = F.transform(F.regexp_extract_all(x, F.lit(r"&#(\d+);"), 1), lambda c: F.coalesce(char(c), F.lit("")))
+    pieces = F.split(x, r"&#\d+;")
+    return F.concat(pieces[0], F.array_join(F.zip_with(chars, F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(1))), lambda c, t: F.concat(c, F.coalesce(t, F.lit("")))), ""))
+
+
+def _strip_once(x: Column) -> Column:
+    x = F.regexp_replace(F.regexp_replace(x, r"<!\[CDATA\[|\]\]>", ""), r"<[^>]+>", " ")
+    for name, char in _ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(char))
-    return x
+    return F.regexp_replace(_numeric_entities(x), r"\s+", " ")
+
 
+def strip_tags(x: Column | str) -> Column:
+    """Markup taken off and entities resolved again and again until nothing changes, since entities may hide tags and entities.
 
-def strip_tags(x: Column | str, rounds: int = 3) -> Column:
-    """Markup taken off again and again, since entities may hide tags; three rounds reach the fixed point of what feeds deliver."""
+    A round that leaves an entity behind takes one of its wrappings off, so there are as many rounds as the longest chain
+    of wrappings in the text, and three more. Text without markup passes at once.
+    """
     y = F.coalesce(col(x), F.lit(""))
-    for _ in range(rounds):
-        y = F.regexp_replace(_decode_entities(y), r"(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(y, r"\s+", " "))
+    chains = F.transform(F.regexp_extract_all(y, F.lit(r"((?:amp;|#0*38;|#x26;)+)"), 1), lambda c: F.length(c))
+    rounds = F.lit(3) + F.coalesce(F.array_max(chains), F.lit(0)).cast("int") / 4
+    whole = F.aggregate(F.sequence(F.lit(1), rounds.cast("int")), y, lambda t, _: _strip_once(t))
+    return F.trim(F.when(y.rlike(r"[<&]|\]\]>"), whole).otherwise(F.regexp_replace(y, r"\s+", " ")))
 
 
 def article_body(page: Column | str, paragraphs: int = 6, limit: int = 500) -> Column:

@@ -46,24 +46,50 @@ def merge_feedback(stored: DataFrame, filed: DataFrame) -> DataFrame:
     return upsert(stored, filed, ["id"]).orderBy(F.col("created_at").desc(), "id")
 
 
-def merge_by_url(df: DataFrame, url: str, stars: str, seq: str, description: str, tags: str) -> DataFrame:
-    """One row for each URL (case and closing slash aside): the first one's place, the most stars, and the description
-    and tags that were gathered at strict increases of the stars. Rows without URL are dropped.
+#: Numbers of the sequence in one bucket of a running value.
+BUCKET_ROWS = 1_000_000
 
-    Increases are found by a running maximum within a URL; only the increasing rows go on to the aggregation.
+
+def max_before(df: DataFrame, key: str, seq: str, value: str, out: str, bucket: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``out``: the highest ``value`` of the key's rows before each in the order of ``seq``, null for the first.
+
+    The running value is kept within (key, bucket of ``seq``); the buckets' own maxima, one row each, carry it across, so
+    that no task sorts a whole key.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(seq) / bucket))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.max(value).over(before(key, "_b").orderBy(seq)))
+    edges = rows.groupBy(key, "_b").agg(F.max(value).alias("_m")).withColumn("_over", F.max("_m").over(before(key).orderBy("_b"))).drop("_m")
+    return rows.join(edges, [key, "_b"]).withColumn(out, F.greatest("_in", "_over")).drop("_b", "_in", "_over")
+
+
+def evidence_by_key(df: DataFrame, key: str, seq: str, source: str) -> DataFrame:
+    """(key, source): the evidence of each key's rows, one entry for each URL, at the place of its first, with the values of its
+    last. Equal URLs are brought together before a key is; null keys are left out."""
+    flat = df.where(F.col(key).isNotNull()).select(key, F.col(seq).alias("_q"), F.posexplode(F.col(source)).alias("_p", "_s")).where(F.coalesce("_s.url", F.lit("")) != "")
+    spot = F.struct("_q", "_p")
+    one = flat.groupBy(key, F.col("_s.url").alias("_u")).agg(F.min(spot).alias("_first"), F.max_by("_s", spot).alias("_s"))
+    return one.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_s"))), lambda x: x["_s"]).cast(EVIDENCE).alias(source))
+
+
+def merge_by_url(df: DataFrame, url: str, stars: str, seq: str, description: str, tags: str, source: str | None = None) -> DataFrame:
+    """One row for each URL (case and closing slash aside): the first one's place, the most stars, the description
+    and tags that were gathered at strict increases of the stars, and with ``source`` the evidence of all. Rows without
+    URL are dropped.
+
+    Increases are found by a running maximum; tags and evidence are made distinct before a URL's are brought together.
     """
     rows = df.withColumn("_key", url_key(url)).where("_key <> ''").withColumn("_s", F.coalesce(F.col(stars), F.lit(0)))
-    before = Window.partitionBy("_key").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_max", F.max("_s").over(before))
+    rows = max_before(rows, "_key", seq, "_s", "_max")
     rises = F.col("_max").isNull() | (F.col("_s") > F.col("_max"))
     told = F.when(rises & (F.coalesce(F.col(description), F.lit("")) != ""), F.col(seq))
-    return rows.groupBy("_key").agg(
-        F.min_by(url, seq).alias(url),
-        F.min(seq).alias(seq),
-        F.max("_s").alias(stars),
-        F.max_by(description, told).alias(description),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(rises, F.struct(F.col(seq).alias("q"), F.coalesce(F.col(tags), F.array().cast("array<string>")).alias("t"))))), lambda x: x["t"]))).alias(tags),
-    ).select(url, seq, stars, description, tags)
+    out = rows.groupBy("_key").agg(F.min_by(url, seq).alias(url), F.min(seq).alias(seq), F.max("_s").alias(stars), F.max_by(description, told).alias(description))
+    spots = rows.where(rises).select("_key", F.col(seq).alias("_q"), F.posexplode(tags).alias("_p", "_t")).groupBy("_key", "_t").agg(F.min(F.struct("_q", "_p")).alias("_first"))
+    tagged = spots.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_t"))), lambda x: x["_t"]).alias(tags))
+    out = out.join(tagged, "_key", "left").withColumn(tags, F.coalesce(tags, F.array().cast("array<string>")))
+    if source:
+        out = out.join(evidence_by_key(rows, "_key", seq, source), "_key", "left").withColumn(source, F.coalesce(source, F.array().cast(EVIDENCE)))
+    return out.select(url, seq, stars, description, tags, *([source] if source else []))
 
 
 def cross_source_key(category: Column, company: Column, product: Column, title: Column, report_date: Column, time: Column) -> Column:
@@ -83,32 +109,49 @@ def strong_key(category: Column, company: Column, product: Column, title: Column
     return F.concat_ws("|", given(category), given(company), noun)
 
 
+def _merged(df: DataFrame, key: str, seq: str, fill: tuple[str, ...]) -> DataFrame:
+    """One row for each ``key``: the first one's in the order of ``seq``, with the longest description (the earliest of
+    equals), all evidence, and of ``fill`` the first values that are given."""
+    kinds = dict(df.dtypes)
+
+    def given(c: str) -> Column:
+        if kinds[c] == "string":
+            return F.length(F.trim(c)) > 0
+        return F.size(c) > 0 if kinds[c].startswith(("map", "array")) else F.col(c).isNotNull()
+
+    made = {c: F.min_by(c, F.when(given(c), F.col(seq))) for c in fill if c in kinds}
+    if "description" in kinds:
+        made["description"] = F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), -F.col(seq)))
+    others = [c for c in df.columns if c not in (seq, key, "source")]  # seq comes last: an alias before the others would hide the column from them
+    out = df.groupBy(key).agg(*[made.get(c, F.min_by(c, seq)).alias(c) for c in others], F.min(seq).alias(seq))
+    if "source" in kinds:
+        out = out.join(evidence_by_key(df, key, seq, "source"), key, "left").withColumn("source", F.coalesce("source", F.array().cast(EVIDENCE)))
+    return out
+
+
 def merge_leaders(df: DataFrame, leaders: DataFrame, uid: str) -> DataFrame:
     """One row for each leader of ``leaders`` (uid, leader): its own, with the longest description (the earliest of equals),
     all evidence, and the first entities that are given. Leaders come first in the order of ``uid``."""
     rows = df.join(leaders.select(F.col("uid").alias(uid), F.col("leader").alias("_leader")), uid)
-    made = {
-        "description": F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), -F.col(uid))),
-        "source": merge_evidence(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(uid).alias("q"), F.coalesce("source", F.array().cast(EVIDENCE)).alias("s")))), lambda x: x["s"]))),
-        "entities": F.min_by("entities", F.when(F.size("entities") > 0, F.col(uid))),
-    }
-    others = [c for c in df.columns if c != uid]  # uid comes last: an alias before the others would hide the column from them
-    return rows.groupBy("_leader").agg(*[made.get(c, F.min_by(c, uid)).alias(c) for c in others], F.min(uid).alias(uid)).select(*df.columns)
+    return _merged(rows, "_leader", uid, ("entities",)).select(*df.columns)
 
 
 def merge_cross_source(df: DataFrame, key: Column, seq: str) -> DataFrame:
-    """One row for each key: the first one's, with the longest description (the earliest of equals), the first company and
-    product that are given, and all evidence. Rows without key pass."""
-    rows = df.withColumn("_key", key)
-    keyed, rest = rows.where("_key is not null"), rows.where("_key is null").drop("_key")
-    fixed = [c for c in df.columns if c not in ("description", "company", "product", "source", seq)]
-    given = lambda c: F.min_by(c, F.when(F.length(F.trim(c)) > 0, F.col(seq)))
-    merged = keyed.groupBy("_key").agg(
-        *[F.min_by(c, seq).alias(c) for c in fixed],
-        F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), -F.col(seq))).alias("description"),
-        given("company").alias("company"),
-        given("product").alias("product"),
-        merge_evidence(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("q"), F.coalesce("source", F.array().cast(EVIDENCE)).alias("s")))), lambda x: x["s"]))).alias("source"),
-        F.min(seq).alias(seq),
-    )
-    return merged.select(*df.columns).unionByName(rest.select(*df.columns).withColumn("source", merge_evidence(F.col("source"))))
+    """One row for each key: the first one's, with the longest description (the earliest of equals), the first company,
+    product, entities and insight that are given, and all evidence. Rows without key pass."""
+    rows = df.withColumn("_key", F.coalesce(key, F.concat(F.lit("\x00"), F.col(seq).cast("string"))))  # none but the row itself
+    return _merged(rows, "_key", seq, ("company", "product", "entities", "insight")).select(*df.columns)
+
+
+def append_or_replace(stored: DataFrame, record: DataFrame) -> DataFrame:
+    """Feedback with one more record, or with it in place of the one of its id; newest first."""
+    return merge_feedback(stored, record)
+
+
+def feedback_with_event(feedback: DataFrame, events: DataFrame) -> DataFrame:
+    """``feedback`` (event_id, report_id, …) with the agent's score and the report of its event: the event's importance, 0
+    for an unknown event, and the report of its day if it was reported, else the report that was stated."""
+    known = latest(events.select("event_id", "importance_score", "status", "added_at", "row_id"), ["event_id"], ["row_id"]).drop("row_id")
+    report = F.when(F.col("status") == "reported", F.concat(F.lit("report_"), F.regexp_replace(F.coalesce("added_at", F.lit("")), "-", ""))).otherwise(F.coalesce("report_id", F.lit("")))
+    score = F.coalesce(F.nanvl("importance_score", F.lit(None).cast("double")), F.lit(0.0))
+    return feedback.join(known, "event_id", "left").withColumn("report_id", report).withColumn("agent_score", score).drop("importance_score", "status", "added_at")

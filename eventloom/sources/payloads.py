@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eventloom import schema
 from eventloom.functions.dates import flexible_date
-from eventloom.functions.web import article_body, clean_xml, page_title, strip_tags, url_key
+from eventloom.functions.web import article_body, clean_xml, page_title, strip_publisher, strip_tags, url_key
 from eventloom.operators.metrics import carry_section, inverted_to_text
 
 
@@ -46,32 +46,37 @@ def studio_listing(spark: SparkSession, path: str, per_query: int = 10) -> DataF
     """Entries of a nested listing ``Data.Studios``."""
     item = "struct<Name:string,Path:string,Description:string,Stars:bigint,GmtModified:string>"
     rows = _json(spark, path, f"Data struct<Studios:array<{item}>>").select("_file", F.posexplode("Data.Studios").alias("pos", "i")).where(F.col("pos") < per_query)
-    return rows.select(F.col("i.Name").alias("project_name"), F.col("i.Path").alias("owner"), F.col("i.Stars").alias("stars"), F.coalesce("i.Description", F.lit("")).alias("description"), F.substring("i.GmtModified", 1, 10).alias("updated_at"))
+    return rows.select(F.col("i.Name").alias("project_name"), F.col("i.Path").alias("owner"), F.col("i.Stars").alias("stars"), F.coalesce("i.Description", F.lit("")).alias("description"), F.substring("i.GmtModified", 1, 10).alias("updated_at"), _evidence(F.col("i.Path"), "modelscope", "studio listing").alias("source_urls"))
+
+
+def _delivered(df: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` records of each file, in the order in which they stand in it. Files are read whole, so the order of
+    a file's rows is that of its array; numbers given along the scan keep it."""
+    from pyspark.sql import Window
+
+    numbered = df.withColumn("_i", F.monotonically_increasing_id())
+    return numbered.withColumn("pos", F.row_number().over(Window.partitionBy("_file").orderBy("_i")) - 1).where(F.col("pos") < most).drop("_i")
 
 
 def model_listing(spark: SparkSession, path: str, per_query: int = 6, tags: int = 8) -> DataFrame:
-    """Models of a listing whose ids are ``owner/name``; tags of pipelines left out."""
-    rows = _json(spark, path, "id string, likes bigint, downloads bigint, tags array<string>, lastModified string, createdAt string")
+    """Models of a listing whose ids are ``owner/name``, the first ``per_query`` delivered of each file; tags of pipelines left out."""
+    rows = _delivered(_json(spark, path, "id string, likes bigint, downloads bigint, tags array<string>, lastModified string, createdAt string"), per_query)
     parts = F.split("id", "/")
     kept = F.slice(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: ~t.startswith("pipeline")), 1, tags)
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy(F.desc_nulls_last("likes"), "id"))).where(F.col("_n") <= per_query)
-    return rows.select(F.element_at(parts, -1).alias("project_name"), F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit("")).alias("owner"), F.col("likes").alias("stars"), kept.alias("tech_tags"), F.substring("lastModified", 1, 10).alias("updated_at"), F.substring("createdAt", 1, 10).alias("created_at"))
+    url = F.concat(F.lit("https://huggingface.co/"), F.col("id"))
+    return rows.select(F.element_at(parts, -1).alias("project_name"), url.alias("repo_url"), F.when(F.size(parts) > 1, parts[0]).otherwise(F.lit("")).alias("owner"), F.col("likes").alias("stars"), kept.alias("tech_tags"), F.substring("lastModified", 1, 10).alias("updated_at"), F.substring("createdAt", 1, 10).alias("created_at"), _evidence(url, "huggingface", "model listing").alias("source_urls"))
 
 
 def gitee_repositories(spark: SparkSession, path: str, per_query: int = 6) -> DataFrame:
-    from pyspark.sql import Window
+    """Repositories of search responses, the first ``per_query`` delivered of each file."""
+    rows = _delivered(_json(spark, path, "full_name string, name string, html_url string, description string, stargazers_count bigint, forks_count bigint, language string, created_at string, pushed_at string"), per_query)
+    return rows.select(F.col("name").alias("project_name"), F.col("html_url").alias("repo_url"), F.split("full_name", "/")[0].alias("owner"), F.col("stargazers_count").alias("stars"), F.col("forks_count").alias("forks"), F.coalesce("description", F.lit("")).alias("description"), F.substring("pushed_at", 1, 10).alias("updated_at"), _evidence(F.col("html_url"), "gitee", "repository").alias("source_urls"))
 
-    rows = _json(spark, path, "full_name string, name string, html_url string, description string, stargazers_count bigint, forks_count bigint, language string, created_at string, pushed_at string")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy(F.desc_nulls_last("stargazers_count"), "full_name"))).where(F.col("_n") <= per_query)
-    return rows.select(F.col("name").alias("project_name"), F.col("html_url").alias("repo_url"), F.split("full_name", "/")[0].alias("owner"), F.col("stargazers_count").alias("stars"), F.col("forks_count").alias("forks"), F.coalesce("description", F.lit("")).alias("description"), F.substring("pushed_at", 1, 10).alias("updated_at"))
 
-
-def arxiv_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of Atom responses: (paper_id, title, abstract, published_at, authors, category)."""
+def arxiv_entries(spark: SparkSession, path: str, per_query: int = 10) -> DataFrame:
+    """Entries of Atom responses, the first ``per_query`` of each file: (paper_id, title, abstract, published_at, authors, category)."""
     ddl = "id string, title string, summary string, published string, author array<struct<name:string>>, category array<struct<_term:string>>"
-    rows = spark.read.format("xml").option("rowTag", "entry").schema(ddl).load(path)
+    rows = _delivered(spark.read.format("xml").option("rowTag", "entry").schema(ddl).load(path).withColumn("_file", F.col("_metadata.file_path")), per_query)
     return rows.select(
         F.regexp_replace(F.regexp_extract("id", r"abs/([^/\s]+(?:/[^/\s]+)?)$", 1), r"v\d+$", "").alias("paper_id"), clean_xml("title").alias("title"), clean_xml("summary").alias("abstract"),
         F.substring("published", 1, 10).alias("published_at"), F.transform("author", lambda a: a["name"]).alias("authors"), F.col("category")[0]["_term"].alias("category"),
@@ -89,24 +94,42 @@ def openalex_works(spark: SparkSession, path: str) -> DataFrame:
 
 
 def daily_papers(spark: SparkSession, path: str, most: int = 15) -> DataFrame:
-    """Papers of a day's list with a hint where they have more than 20 votes."""
+    """Papers of daily lists, the first ``most`` delivered of each file, with a hint where they have more than 20 votes."""
     rows = _json(spark, path, "paper struct<id:string,title:string,summary:string,upvotes:bigint>, publishedAt string")
-    rows = rows.orderBy(F.desc_nulls_last("paper.upvotes"), "paper.id").limit(most)
+    rows = _delivered(rows, most)
     return rows.select(F.col("paper.id").alias("paper_id"), F.col("paper.title").alias("title"), F.col("paper.summary").alias("abstract"), F.substring("publishedAt", 1, 10).alias("published_at"),
                        F.when(F.col("paper.upvotes") > 20, F.concat(F.lit("HF 热议("), F.col("paper.upvotes").cast("string"), F.lit(")"))).alias("influence_hint"))
 
 
+def search_hits(spark: SparkSession, path: str, as_of: Column, max_days: int, most: int = 10) -> DataFrame:
+    """Hits of a news search: (file, pos, title, link, published_at, snippet), no older than ``max_days``, the first ``most`` of each file."""
+    hit = "struct<title:string,url:string,created_at:string,points:bigint,story_text:string>"
+    rows = _json(spark, path, f"hits array<{hit}>").select("_file", F.posexplode("hits").alias("pos", "h")).where(F.col("pos") < most)
+    age = F.datediff(as_of.cast("date"), F.substring("h.created_at", 1, 10).try_cast("date"))
+    rows = rows.where((F.coalesce("h.title", F.lit("")) != "") & age.between(0, max_days))
+    return rows.select(F.col("_file").alias("file"), "pos", F.col("h.title").alias("title"), F.coalesce("h.url", F.lit("")).alias("link"), F.substring("h.created_at", 1, 10).alias("published_at"), strip_tags("h.story_text").alias("snippet"))
+
+
+def news_query(spark: SparkSession, path: str, most: int = 6) -> DataFrame:
+    """Items of an aggregator's feed: undated ones dropped, the publisher taken off the headline, the first ``most`` of each feed."""
+    rows = feed_items(spark, path, None).where("published_at is not null")
+    from pyspark.sql import Window
+
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).where(F.col("_n") <= most).drop("_n")
+    return first.withColumn("title", strip_publisher("title"))
+
+
 def _documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
 
 
-def feed_items(spark: SparkSession, path: str, most: int = 20) -> DataFrame:
-    """Items of RSS and entries of Atom feeds: (file, pos, title, link, published_at, snippet), the first ``most`` of a feed.
+def feed_items(spark: SparkSession, path: str, most: int | None = 20) -> DataFrame:
+    """Items of RSS and entries of Atom feeds: (file, pos, title, link, published_at, snippet), the first ``most`` of a feed (None: all).
 
     By patterns rather than an XML parser, since feeds are often not well-formed.
     """
     items = F.regexp_extract_all("doc", F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), 1)
-    rows = _documents(spark, path).select("file", F.posexplode(F.slice(items, 1, most)).alias("pos", "item"))
+    rows = _documents(spark, path).select("file", F.posexplode(items if most is None else F.slice(items, 1, most)).alias("pos", "item"))
     tag = lambda name: F.regexp_extract("item", rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1)
     link = F.coalesce(F.nullif(F.trim(clean_xml(tag("link"))), F.lit("")), F.regexp_extract("item", r'(?is)<link\b[^>]*href="([^"]+)"', 1))
     when = F.coalesce(*[F.nullif(clean_xml(tag(n)), F.lit("")) for n in ("pubDate", "published", "updated")])
@@ -139,7 +162,7 @@ def report_lines(spark: SparkSession, path: str) -> DataFrame:
 def html_modules(spark: SparkSession, path: str, module_class: str = "module") -> DataFrame:
     """(file, pos, module, block) of archive pages split at the headings of their modules."""
     blocks = F.split("doc", rf'(?i)(?=<section[^>]*class="[^"]*{module_class}[^"]*")')
-    rows = _documents(spark, path).select("file", F.posexplode(F.slice(blocks, 2, 10_000)).alias("pos", "block"))
+    rows = _documents(spark, path).select("file", F.posexplode(F.slice(blocks, 2, F.size(blocks))).alias("pos", "block"))
     return rows.select("file", "pos", strip_tags(F.regexp_extract("block", r"(?is)<h2[^>]*>(.*?)</h2>", 1)).alias("module"), "block")
 
 

@@ -21,22 +21,22 @@ def counts_by_window(events: DataFrame, at: str, key: str, length: str = "1 day"
 
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     fails, error = state.get if state.exists else (0, None)
     rows = pd.concat(list(batches)).sort_values("at")
     for ok, text in zip(rows["ok"], rows["error"]):
         fails = 0 if ok else fails + 1
         error = error if ok else (text or "")[:300]
     state.update((fails, error))
-    state.setTimeoutDuration(30 * 86_400_000)
     yield pd.DataFrame({"source_key": [key[0]], "fail_count": [fails], "last_error": [error]})
 
 
 def source_health(events: DataFrame) -> DataFrame:
-    """(source_key, fail_count, last_error) after each batch of (source_key, at, ok, error): failures since the last success."""
-    return events.groupBy("source_key").applyInPandasWithState(_fold, "source_key string, fail_count int, last_error string", "fail_count int, last_error string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    """(source_key, fail_count, last_error) after each batch of (source_key, at, ok, error): failures since the last success.
+
+    Nothing but a success clears failures, so the state has no timeout; one by processing time would also keep a run over
+    what is available from ever ending.
+    """
+    return events.groupBy("source_key").applyInPandasWithState(_fold, "source_key string, fail_count int, last_error string", "fail_count int, last_error string", "update", GroupStateTimeout.NoTimeout)
 
 
 def write_available(df: DataFrame, path: str, checkpoint: str):

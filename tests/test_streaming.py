@@ -1,7 +1,5 @@
 import datetime as dt
 
-import pytest
-
 from eventloom.streaming import incremental as S
 
 
@@ -25,7 +23,6 @@ def test_unseen_across_runs(spark, tmp_path):
     assert sorted(r.key for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
 
 
-@pytest.mark.skip(reason="did not end within 75 s on the build machine; cause not found yet, so source_health as a stream is unverified")
 def test_health_state_continues(spark, tmp_path):
     src, ck, schema = str(tmp_path / "in"), str(tmp_path / "ck"), "source_key string, at timestamp, ok boolean, error string"
     at = lambda k: dt.datetime(2026, 1, 1, 0, k)
