@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from eventloom.functions.dates import source_has_date
-from eventloom.functions.text import clean_text, col
+from eventloom.functions.text import clean_text, col, strip
 from eventloom.functions.web import credibility
 
 # Words that speak for a class, and topics that are tagged.
@@ -81,7 +81,7 @@ def extract_entities(text: Column | str) -> Column:
     n = raw.try_cast("double")
     amount = F.when(F.contains(x, F.lit("亿")), n * 10000).when(F.contains(x, F.lit("万")), n).when(F.upper(F.regexp_extract(x, usd, 2)) == "B", n * 10000).otherwise(n * 100)
     by = r"由(.{2,30}?)(?:领投|参投|投资|注资)"
-    investors = F.slice(F.filter(F.transform(F.split(F.regexp_extract(x, by, 1), "、|,|，|和|及"), F.trim), lambda s: s != ""), 1, 5)
+    investors = F.slice(F.filter(F.transform(F.split(F.regexp_extract(x, by, 1), "、|,|，|和|及"), strip), lambda s: s != ""), 1, 5)
     star = r"(?i)(\d+(?:\.\d+)?)\s*[k万]?\s*star"
     stars = F.regexp_extract(x, star, 1).try_cast("double")
     stars = stars * F.when(F.contains(F.lower(x), F.lit("k star")), 1000).otherwise(1) * F.when(x.rlike("万 ?star"), 10000).otherwise(1)

@@ -23,9 +23,10 @@ def merge_evidence(sources: Column) -> Column:
 
 
 def add_new_hosts(first: Column, more: Column) -> Column:
-    """``first`` with those of ``more`` whose host it does not have yet."""
-    hosts = F.transform(first, lambda s: url_host(s["url"]))
-    return F.concat(first, F.filter(more, lambda s: ~F.array_contains(hosts, F.coalesce(url_host(s["url"]), F.lit("")))))
+    """``first`` with those of ``more`` that have a URL whose host it does not have yet; what is no URL counts as its own host."""
+    host = lambda s: F.coalesce(url_host(s["url"]), s["url"], F.lit(""))
+    hosts = F.transform(first, host)
+    return F.concat(first, F.filter(more, lambda s: (F.coalesce(s["url"], F.lit("")) != "") & ~F.array_contains(hosts, host(s))))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -55,10 +55,11 @@ def failure_runs(events: DataFrame, key: str, order: str, ok: Column) -> DataFra
     return rows.where("not _ok").groupBy(key, "run_no").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
 
 
-def inverted_to_text(index: Column, limit: int = 600) -> Column:
-    """The text of a map from words to positions, cut to ``limit`` characters."""
+def inverted_to_text(index: Column, limit: int | None = 600) -> Column:
+    """The text of a map from words to positions, cut to ``limit`` characters (None: whole)."""
     spots = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.substring(F.array_join(F.transform(F.array_sort(spots), lambda s: s["w"]), " "), 1, limit)
+    whole = F.array_join(F.transform(F.array_sort(spots), lambda s: s["w"]), " ")
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def text_to_inverted(text: Column) -> Column:

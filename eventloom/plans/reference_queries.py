@@ -211,14 +211,15 @@ def influence_rank(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "merge_by_url",
     """WITH r AS (SELECT snap_id, repo_url, coalesce(stars,0) AS s, fetched_at, regexp_replace(lower(trim(coalesce(repo_url,''))), '/+$', '') AS k FROM star_snapshots),
-       q AS (SELECT *, max(s) OVER (PARTITION BY k ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r WHERE k <> '')
-       SELECT arg_min(repo_url, snap_id) AS repo_url, min(snap_id) AS snap_id, max(s) AS stars, arg_max(fetched_at, CASE WHEN (m IS NULL OR s > m) AND coalesce(fetched_at,'') <> '' THEN snap_id END) AS fetched_at,
-              count(DISTINCT CASE WHEN m IS NULL OR s > m THEN fetched_at END) AS n_tags FROM q GROUP BY k""",
+       q AS (SELECT *, max(s) OVER (PARTITION BY k ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r WHERE k <> ''),
+       g AS (SELECT k, fetched_at, min(snap_id) AS i FROM q WHERE (m IS NULL OR s > m) AND fetched_at IS NOT NULL GROUP BY ALL), t AS (SELECT k, string_agg(fetched_at, '|' ORDER BY i) AS tags FROM g GROUP BY k),
+       o AS (SELECT k, arg_min(repo_url, snap_id) AS repo_url, min(snap_id) AS snap_id, max(s) AS stars, arg_max(fetched_at, CASE WHEN (m IS NULL OR s > m) AND coalesce(fetched_at,'') <> '' THEN snap_id END) AS fetched_at FROM q GROUP BY k)
+       SELECT repo_url, snap_id, stars, fetched_at, coalesce(tags, '') AS tags FROM o LEFT JOIN t USING (k)""",
 )
 def merge_by_url(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "star_snapshots").withColumn("tags", F.array("fetched_at"))
+    rows = table(spark, d, "star_snapshots").withColumn("tags", F.filter(F.array("fetched_at"), lambda t: t.isNotNull()))
     out = merge.merge_by_url(rows, "repo_url", "stars", "snap_id", "fetched_at", "tags")
-    return out.select("repo_url", "snap_id", "stars", "fetched_at", F.size("tags").cast("bigint").alias("n_tags"))
+    return out.select("repo_url", "snap_id", "stars", "fetched_at", F.array_join("tags", "|").alias("tags"))
 
 
 @query(
@@ -228,16 +229,19 @@ def merge_by_url(spark: SparkSession, d: str) -> DataFrame:
         v AS (SELECT *, {_KEY} AS tk FROM s),
         k AS (SELECT *, CASE WHEN category = 'opensource' AND lower(product) <> '' THEN 'opensource|' || lower(product)
                              WHEN tk <> '' THEN category || '|' || lower(company) || '|' || tk || '|' || bucket END AS gk FROM v),
-        g AS (SELECT min(row_id) AS row_id, count(*) AS n, max(length(coalesce(description,''))) AS longest,
-                     len(list_distinct(list_filter(flatten(list(list_transform(source, lambda x: coalesce(x.url,'')))), lambda u: u <> ''))) AS n_urls FROM k WHERE gk IS NOT NULL GROUP BY gk
-              UNION ALL SELECT row_id, 1, length(coalesce(description,'')), len(list_distinct(list_filter(list_transform(source, lambda x: coalesce(x.url,'')), lambda u: u <> ''))) FROM k WHERE gk IS NULL)
-        SELECT row_id, CAST(longest AS INTEGER) AS longest, CAST(coalesce(n_urls,0) AS INTEGER) AS n_urls FROM g""",
+        g0 AS (SELECT *, coalesce(gk, '#' || row_id) AS g FROM k),
+        u AS (SELECT g, x.url AS url, min(row(row_id, i)) AS first_at, arg_max(coalesce(x.name,''), row(row_id, i)) AS name FROM (SELECT g, row_id, i, source[i] AS x FROM g0, unnest(range(1, len(source)+1)) AS t(i)) WHERE coalesce(x.url,'') <> '' GROUP BY g, x.url),
+        e AS (SELECT g, string_agg(url || '=' || name, ' ' ORDER BY first_at) AS evidence FROM u GROUP BY g),
+        o AS (SELECT g, min(row_id) AS row_id, arg_min(title, row_id) AS title, arg_max(description, row(length(coalesce(description,'')), -row_id)) AS description, arg_min(company, CASE WHEN length(trim(company)) > 0 THEN row_id END) AS company,
+                     arg_min(product, CASE WHEN length(trim(product)) > 0 THEN row_id END) AS product FROM g0 GROUP BY g)
+        SELECT row_id, title, description, company, product, coalesce(evidence, '') AS evidence FROM o LEFT JOIN e USING (g)""",
 )
 def merge_cross_source(spark: SparkSession, d: str) -> DataFrame:
     rows = daily.standardise(_std(spark, d)).select("row_id", "category", "company", "product", F.col("title"), "description", "source", "time")
     key = merge.cross_source_key(F.col("category"), F.col("company"), F.col("product"), F.col("title"), F.lit(AS_OF), F.col("time"))
     out = merge.merge_cross_source(rows, key, "row_id")
-    return out.select("row_id", F.length(F.coalesce("description", F.lit(""))).alias("longest"), F.size("source").alias("n_urls"))
+    evidence = F.array_join(F.transform("source", lambda s: F.concat(s["url"], F.lit("="), F.coalesce(s["name"], F.lit("")))), " ")
+    return out.select("row_id", "title", "description", "company", "product", evidence.alias("evidence"))
 
 
 @query(
@@ -464,11 +468,6 @@ def rule_filter(spark: SparkSession, d: str) -> DataFrame:
     return _std(spark, d).where(records.passes_rules(F.col("title"), F.col("description"), F.col("source"))).select("row_id")
 
 
-@query("extract_entities")
-def extract_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _std(spark, d).select("row_id", records.extract_entities(F.concat_ws(" ", "title", "description")).alias("e")).select("row_id", "e.*")
-
-
 @query(
     "build_facts",
     """SELECT row_id, concat_ws('; ', CASE WHEN coalesce(company,'') <> '' THEN 'company=' || company END, CASE WHEN coalesce(product,'') <> '' THEN 'product=' || product END,
@@ -523,16 +522,6 @@ def amount_wan(spark: SparkSession, d: str) -> DataFrame:
     return _std(spark, d).select("row_id", records.amount_in_wan(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")))).alias("wan"))
 
 
-@query("core_noun")
-def core_noun(spark: SparkSession, d: str) -> DataFrame:
-    return _std(spark, d).select("row_id", text.core_noun("title").alias("noun"))
-
-
-@query("strip_tags")
-def strip_tags(spark: SparkSession, d: str) -> DataFrame:
-    return _std(spark, d).select("row_id", web.strip_tags("description").alias("plain"))
-
-
 @query("url_host", r"SELECT row_id, lower(nullif(regexp_extract(coalesce(source[1].url,''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)', 1), '')) AS host FROM standard_events")
 def url_host(spark: SparkSession, d: str) -> DataFrame:
     return _std(spark, d).select("row_id", web.url_host(F.try_element_at("source", F.lit(1))["url"]).alias("host"))
@@ -548,9 +537,9 @@ def url_date(spark: SparkSession, d: str) -> DataFrame:
     return _std(spark, d).select("row_id", dates.url_date(F.try_element_at("source", F.lit(1))["url"]).alias("day"))
 
 
-@query("inverted_index_roundtrip", "SELECT item_id, substr(text, 1, 600) AS rebuilt FROM eval_items")
+@query("inverted_index_roundtrip", "SELECT item_id, text AS rebuilt FROM eval_items")
 def inverted_index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "eval_items").select("item_id", metrics.inverted_to_text(metrics.text_to_inverted(F.col("text"))).alias("rebuilt"))
+    return table(spark, d, "eval_items").select("item_id", metrics.inverted_to_text(metrics.text_to_inverted(F.col("text")), None).alias("rebuilt"))
 
 
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -558,13 +547,6 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", records.parse_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("number_traceability")
-def number_traceability(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers of titles that the descriptions do not have."""
-    rows = _std(spark, d).select("row_id", text.untraceable_numbers("title", text.allowed_numbers("description")).alias("bad"))
-    return rows.select("row_id", F.size("bad").alias("n_bad"), F.array_join("bad", " ").alias("bad"))
-
-
 @query(
     "markdown_sections",
     r"""WITH l AS (SELECT doc_id, i AS line_no, string_split(replace(text, E'\r\n', E'\n'), E'\n')[i+1] AS line FROM documents, unnest(range(0, len(string_split(replace(text, E'\r\n', E'\n'), E'\n')))) AS t(i)),
