@@ -1,11 +1,13 @@
 """Typed company names mapped to the entries of a reference list, by a partition-based pigeonhole join.
 
 A typed value is cleaned with built-in functions only (widths, accents, look-alike letters, quotes, legal forms, asides).
-Reference strings are the names and aliases, and the leading word of a name where no other entry shares it. A reference
-string within k edits of a typed one shares at least one of its k+1 segments unchanged, at a position that the edits
-can shift by only so much; hence an equality join on (length, segment number, segment text) finds every candidate.
-Candidates are verified with ``levenshtein``: each word may differ by one edit or one swap of neighbours. Values without
-a verified candidate come out through an anti-join as -1. Everything is a join of distinct values; no Python runs.
+Reference strings are the names and aliases, the leading word of a name where no other entry shares it, and names with
+an abbreviated second word. A reference string within k edits of a typed one shares at least one of its k+1 segments
+unchanged, at a position that the edits can shift by only so much; hence an equality join on (length, segment number,
+segment text) finds every candidate. k is at least what the verification accepts; an abbreviation counts as it is, its one
+segment being the whole. Candidates are verified with ``levenshtein``: each word may differ by one edit or one swap of
+neighbours. Values without a verified candidate come out through an anti-join as -1. Everything is a join of distinct
+values on equal columns; no Python runs.
 """
 
 from __future__ import annotations
@@ -15,8 +17,13 @@ from pyspark.sql import functions as F
 
 from eventloom.session import broadcast_if_small, cut_lineage
 
-#: Edits that the join tolerates in a reference string of at least so many characters.
-EDITS = ((12, 4), (7, 2), (5, 1))
+#: Edits that the join tolerates in a reference string of at least so many characters, of one word and of two: the swap that
+#: the verification accepts in a word counts as two.
+EDITS = ((12, 4), (5, 2))
+EDITS_TWO_WORDS = ((7, 4), (5, 2))
+MOST_EDITS = 4
+#: Parts into which the records of one value are spread where the mapping is too large to broadcast.
+SALTS = 16
 #: Shortest leading word or abbreviation that counts.
 HEAD_MIN, ABBREVIATION_MIN = 5, 3
 
@@ -72,19 +79,26 @@ def reference_strings(pool: DataFrame) -> DataFrame:
     one = one.where((F.length("name") >= HEAD_MIN) | F.col("name").rlike(r"^\p{IsHan}{2,}$"))
     heads = one.select("company_id", "name", F.col("name").alias("w1"), F.lit("").alias("rest"))
     ref = full.select("company_id", "name", "w1", "rest").unionByName(heads)
-    return ref.select("company_id", F.regexp_replace("name", " ", "").alias("ref"), "w1", "rest").distinct()
+    ref = ref.select("company_id", F.regexp_replace("name", " ", "").alias("ref"), "w1", "rest", F.lit(False).alias("short"))
+    # an abbreviated second word: what it begins with
+    lengths = F.when(F.length("rest") > ABBREVIATION_MIN, F.sequence(F.lit(ABBREVIATION_MIN), F.length("rest") - 1)).otherwise(F.array().cast("array<int>"))
+    short = full.where("rest <> ''").select("company_id", "w1", "rest", F.explode(lengths).alias("n")).select("company_id", "w1", F.expr("substring(rest, 1, n)").alias("rest"))
+    return ref.unionByName(short.select("company_id", F.concat("w1", "rest").alias("ref"), "w1", "rest", F.lit(True).alias("short"))).distinct()
 
 
-def _edits(length: Column) -> Column:
-    k = F.lit(0)
+def _edits(length: Column, two: Column) -> Column:
+    k, l = F.lit(0), F.lit(0)
     for least, edits in reversed(EDITS):
         k = F.when(length >= least, F.lit(edits)).otherwise(k)
-    return k
+    for least, edits in reversed(EDITS_TWO_WORDS):
+        l = F.when(length >= least, F.lit(edits)).otherwise(l)
+    return F.when(two, F.greatest(k, l)).otherwise(k)
 
 
 def _segments(refs: DataFrame) -> DataFrame:
-    """Each reference string cut into k+1 segments: (len, k, seg_no, seg_pos, seg) besides the columns of ``refs``."""
-    cut = refs.withColumn("len", F.length("ref")).withColumn("k", _edits(F.col("len")))
+    """Each reference string cut into k+1 segments: (len, k, i, seg_pos, seg, seg_len) besides the columns of ``refs``."""
+    whole = F.col("short") if "short" in refs.columns else F.lit(False)
+    cut = refs.withColumn("len", F.length("ref")).withColumn("k", F.when(whole, F.lit(0)).otherwise(_edits(F.col("len"), F.col("rest") != "")))
     cut = cut.withColumn("i", F.explode(F.expr("sequence(0, k)")))
     start = F.floor(F.col("len") * F.col("i") / (F.col("k") + 1)).cast("int")
     stop = F.floor(F.col("len") * (F.col("i") + 1) / (F.col("k") + 1)).cast("int")
@@ -93,12 +107,14 @@ def _segments(refs: DataFrame) -> DataFrame:
 
 def _probes(typed: DataFrame, shapes: DataFrame) -> DataFrame:
     """Substrings of typed strings at the places where a segment of a reference string of near length can lie."""
-    x = typed.withColumn("tlen", F.length("squashed")).join(shapes, F.abs(F.length("squashed") - F.col("len")) <= F.col("k"))
+    x = typed.withColumn("tlen", F.length("squashed"))
+    x = x.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("tlen") - MOST_EDITS), F.col("tlen") + MOST_EDITS)))
+    x = x.join(shapes, "len").where(F.abs(F.col("tlen") - F.col("len")) <= F.col("k"))
     at = F.expr(
         "transform(sequence(seg_pos - (k - (tlen - len)) div 2, seg_pos + (k + (tlen - len)) div 2),"
         " p -> if(p >= 0 and p + seg_len <= tlen, substring(squashed, p + 1, seg_len), null))"
     )
-    return x.withColumn("seg", F.explode(F.array_distinct(at))).where("seg is not null").select("clean", "squashed", "tw1", "trest", "len", "i", "seg")
+    return x.withColumn("seg", F.explode(F.array_distinct(at))).where("seg is not null").select("clean", "squashed", "tw1", "trest", "len", "k", "i", "seg")
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -123,19 +139,15 @@ def match_names(typed: DataFrame, pool: DataFrame) -> DataFrame:
     cleaned = cleaned.withColumn("squashed", F.regexp_replace("clean", " ", ""))
     refs = cut_lineage(reference_strings(pool))
     segments = _segments(refs)
-    shapes = F.broadcast(segments.select("len", "k", "i", "seg_pos", "seg_len").distinct())  # a few rows for each length that a name has
-    cand = _probes(cleaned, shapes).join(broadcast_if_small(segments), ["len", "i", "seg"])
+    shapes = broadcast_if_small(segments.select("len", "k", "i", "seg_pos", "seg_len").distinct())
+    cand = _probes(cleaned, shapes).join(broadcast_if_small(segments), ["len", "k", "i", "seg"])
     whole = F.levenshtein("squashed", "ref", 4)
     two = (F.col("trest") != "") & (F.col("rest") != "")
     same = F.when(two, _near(F.col("tw1"), F.col("w1")) & _near(F.col("trest"), F.col("rest"))).otherwise(
         F.when((F.col("trest") == "") & (F.col("rest") == ""), _near(F.col("squashed"), F.col("ref"))).otherwise(F.col("squashed") == F.col("ref"))
     )
-    found = cand.where(same).select("clean", "company_id", whole.alias("edits"))
-    # an abbreviated second word: equal leading word, the rest begins as the entry's does
-    short = cleaned.where((F.length("trest") >= ABBREVIATION_MIN)).select("clean", "tw1", "trest")
-    names = refs.where("rest <> ''").select("company_id", "w1", "rest")
-    abbreviated = short.join(broadcast_if_small(names), (F.col("tw1") == F.col("w1")) & F.col("rest").startswith(F.col("trest")))
-    found = found.unionByName(abbreviated.select("clean", "company_id", F.lit(5).alias("edits")))
+    abbreviated = (F.col("tw1") == F.col("w1")) & (F.col("trest") == F.col("rest"))
+    found = cand.where(F.when(F.col("short"), abbreviated).otherwise(same)).select("clean", "company_id", F.when(F.col("short"), F.lit(5)).otherwise(whole).alias("edits"))
     best = Window.partitionBy("clean").orderBy("edits", "company_id")
     matched = found.groupBy("clean", "company_id").agg(F.min("edits").alias("edits")).withColumn("r", F.row_number().over(best)).where("r = 1").select("clean", "company_id")
     hits = values.join(matched, "clean").select("company", "company_id")
@@ -145,5 +157,9 @@ def match_names(typed: DataFrame, pool: DataFrame) -> DataFrame:
 
 def map_records(records: DataFrame, pool: DataFrame) -> DataFrame:
     """(tab, rec_id, company_id) of every record (tab, rec_id, company) whose company is neither null nor blank."""
-    mapping = match_names(records, pool)
-    return records.select("tab", "rec_id", "company").join(mapping, "company").select("tab", "rec_id", "company_id")
+    rows, mapping = records.select("tab", "rec_id", "company"), cut_lineage(match_names(records, pool))
+    small = broadcast_if_small(mapping)
+    if small is not mapping:
+        return rows.join(small, "company").select("tab", "rec_id", "company_id")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("tab", "rec_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(mapping.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["company", "_salt"]).select("tab", "rec_id", "company_id")

@@ -32,6 +32,29 @@ def test_records_and_edges(spark):
     assert {r.company_id for r in companies.match_names(rows, pool.limit(0)).collect()} == {-1}
 
 
+def test_what_the_verification_accepts_is_a_candidate(spark):
+    """One edit or one swap in each word, at every place, in names of all lengths from five characters on."""
+    names = ["mimizi", "quark", "abcdefg", "norvelo systems", "abc defgh", "kestrel labs", "longername industries"]
+    pool = spark.createDataFrame([(k, n, None) for k, n in enumerate(names)], "company_id long, company string, aliases array<string>")
+    swap = lambda w, k: w[:k] + w[k + 1] + w[k] + w[k + 2 :]
+    want = {}
+    for k, name in enumerate(names):
+        words = name.split()
+        for at in range(max(map(len, words)) - 1):
+            want[" ".join(swap(w, at) if at + 1 < len(w) else w for w in words)] = k
+            want[" ".join(w[:at] + "z" + w[at + 1 :] if at < len(w) else w for w in words)] = k
+    got = {r.company: r.company_id for r in companies.match_names(spark.createDataFrame([(w,) for w in want], "company string"), pool).collect()}
+    assert {t: (got[t], k) for t, k in want.items() if got[t] != k} == {}
+
+
+def test_a_large_mapping_is_salted(spark, monkeypatch):
+    pool = spark.createDataFrame(POOL, "company_id long, company string, aliases array<string>")
+    rows = spark.createDataFrame([("a", k, "Pleajupu" if k % 3 else "nobody") for k in range(60)], "tab string, rec_id long, company string")
+    want = sorted(tuple(r) for r in companies.map_records(rows, pool).collect())
+    monkeypatch.setattr(companies, "broadcast_if_small", lambda df: df)
+    assert sorted(tuple(r) for r in companies.map_records(rows, pool).collect()) == want and len(want) == 60
+
+
 @pytest.mark.parametrize("typed,ref", [("abcdefghijklmn", "abcdefghijklmn")])
 def test_every_near_string_is_a_candidate(spark, typed, ref):
     import random
