@@ -12,7 +12,10 @@ which one is allowed itself, so it is enough to look for passages shorter than t
 with E edits consists of E+1 verbatim stretches, of which those that are no matches have less than SEED words; so the
 matches of a pair on neighbouring diagonals must together be long enough for some E, or they are dropped at once.
 
-Only suffixes whose first words all occur in test items can match; the others are left out of a shard's array.
+Only suffixes whose first words all occur in test items can match; the others are left out of a shard's array. The array is
+sorted to SEED words, since no shorter match matters; each longer match is read off where it lies, with its place in the
+document and in the item. The corpus is read once, however many items there are: they are indexed in blocks, and every
+shard is searched for one block after the other.
 """
 
 from __future__ import annotations
@@ -187,8 +190,9 @@ class Index:
             return np.zeros(1, np.int64), np.zeros(0, np.int64)
         return np.append(np.concatenate(tokens), 0), np.concatenate(doc)
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-        """(number of the text, item, longest verbatim match, words of the passage) of every leak in a shard."""
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
+        """(number of the text, item, longest verbatim match, words of the passage, and where in item and text the match
+        begins, in words or characters) of every leak in a shard."""
         tokens, doc = self.sequence(texts)
         at = self._starts(tokens)
         if not len(at) or not len(self.at):
@@ -212,14 +216,14 @@ class Index:
             length[going] += 1
         keep = self._promising(doc[d], self.item[e], e, d - e, length)
         e, d, length = e[keep], d[keep], length[keep]
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         for k in np.argsort(-length, kind="stable"):
             key = (int(doc[d[k]]), int(self.item[e[k]]))
             if key in best:
                 continue
             covered = self._passage(tokens, int(e[k]), int(d[k]), int(length[k]))
             if covered:
-                best[key] = (int(length[k]), covered)
+                best[key] = (int(length[k]), covered, self.before[int(e[k])], int(d[k]) - int(np.searchsorted(doc, key[0])) - 1)
         return [(k[0], k[1], *v) for k, v in best.items()]
 
     def _promising(self, doc: np.ndarray, item: np.ndarray, e: np.ndarray, diagonal: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -298,57 +302,52 @@ class Index:
         return reach
 
 
-def _search_batches(by_words, by_chars):
+_LEAK = "doc_id bigint, item_id bigint, verbatim int, passage int, item_at int, doc_at int"
+
+
+def _search_batches(blocks: list):
+    """Every batch is searched for all blocks of items; of several, a worker holds one at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_index, chars_index = by_words.value, by_chars.value
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[tuple[int, int, int, int]] = []
-            if words_index is not None:
-                out += [(ids[k], i, v, p) for k, i, v, p in words_index.search(texts)]
-            if chars_index is not None:
-                out += [(ids[k], i, v, p) for k, i, v, p in chars_index.search(texts)]
-            columns = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())],
-                names=["doc_id", "item_id", "verbatim", "passage"],
-            )
+            for block in blocks:
+                out = [(ids[found[0]], *found[1:]) for index in block.value for found in index.search(texts)]
+                if len(blocks) > 1 and hasattr(block, "_value"):
+                    del block._value  # read again from the worker's disk when its turn comes
+                columns = list(zip(*out)) if out else [[]] * 6
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "verbatim", "passage", "item_at", "doc_at"])
 
     return run
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, verbatim, passage): each document with each item that it leaks, whole or in part.
+    """(doc_id, item_id, verbatim, passage, item_at, doc_at): each document with each item that it leaks, whole or in part.
 
-    ``verbatim`` is the longest verbatim match that led to the find and ``passage`` the item's words (characters) in an
-    allowed passage around it. Null, empty and short texts leak nothing, nor do items shorter than a passage. Texts
-    are read whole; repeated rows are each answered; empty tables give an empty result; other columns are ignored. The
-    items are the query set: they are read by the driver in blocks and each block goes over all documents.
+    ``verbatim`` is the longest verbatim match that led to the find, ``item_at`` and ``doc_at`` the words (characters of items
+    in Chinese) before it in item and document, and ``passage`` the item's words in an allowed passage around it. Null,
+    empty and short texts leak nothing, nor do items shorter than a passage. Texts are read whole; repeated rows are each
+    answered; empty tables give an empty result; other columns are ignored. The items are the query set: the driver reads
+    them one block at a time and sends each block's index out once; the documents are read once.
     """
-    spark = docs.sparkSession
-    rows = items.select("item_id", "lang", "text").where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator()
-    blocks: list[DataFrame] = []
-    texts = docs.select("doc_id", "text")
-
-    def one(block) -> DataFrame:
-        han = [(r.item_id, chars_of(r.text)) for r in block if (r.lang or "").strip().lower().startswith("zh")]
-        rest = [(r.item_id, words_of(r.text)) for r in block if not (r.lang or "").strip().lower().startswith("zh")]
-        by_words = spark.sparkContext.broadcast(Index(rest, SEED_WORDS, MIN_WORDS) if rest else None)
-        by_chars = spark.sparkContext.broadcast(Index(han, SEED_CHARS, MIN_CHARS, chars=True) if han else None)
-        return texts.mapInArrow(_search_batches(by_words, by_chars), "doc_id bigint, item_id bigint, verbatim int, passage int")
-
+    context = docs.sparkSession.sparkContext
+    blocks: list = []
     held: list = []
-    for row in rows:
+
+    def close() -> None:
+        han = [(r.item_id, chars_of(r.text)) for r in held if (r.lang or "").strip().lower().startswith("zh")]
+        rest = [(r.item_id, words_of(r.text)) for r in held if not (r.lang or "").strip().lower().startswith("zh")]
+        blocks.append(context.broadcast([Index(rest, SEED_WORDS, MIN_WORDS)] * bool(rest) + [Index(han, SEED_CHARS, MIN_CHARS, chars=True)] * bool(han)))
+        held.clear()
+
+    for row in items.select("item_id", "lang", "text").where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator():
         held.append(row)
         if len(held) == block_items:
-            blocks.append(one(held))
-            held = []
-    if held or not blocks:
-        blocks.append(one(held))
-    out = blocks[0]
-    for more in blocks[1:]:
-        out = out.unionByName(more)
-    return out
+            close()
+    if held:
+        close()
+    return docs.select("doc_id", "text").mapInArrow(_search_batches(blocks), _LEAK)
 
 
 def leaked_pairs(docs: DataFrame, items: DataFrame) -> DataFrame:

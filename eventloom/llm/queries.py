@@ -44,12 +44,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_chars) of the documents that leak nothing, their characters counted."""
+    docs = table(spark, sf_dir, "documents")
+    kept = leaks.remove_leaked(docs, leaks.find_leaks(docs, table(spark, sf_dir, "eval_items")))
+    return kept.select("doc_id", F.length("text").alias("n_chars"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.distinct_finds(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -36,7 +36,7 @@ def test_matches_brute_force():
             rng.choice([lambda: part.pop(at), lambda: part.insert(at, "odd"), lambda: part.__setitem__(at, "odd")])()
         docs.append(words + part + [rng.choice(vocab) for _ in range(rng.randint(0, 10))])
     index = leaks.Index(items, leaks.SEED_WORDS, leaks.MIN_WORDS)
-    got = {(d, i) for d, i, _, _ in index.search([" ".join(x) for x in docs])}
+    got = {(d, i) for d, i, *_ in index.search([" ".join(x) for x in docs])}
     want = {(d, i) for d, doc in enumerate(docs) for i, item in items if brute(item, doc, leaks.MIN_WORDS)}
     assert got == want and want
 
@@ -53,3 +53,14 @@ def test_marks_case_and_spacing_do_not_count(spark):
     assert sorted(r.doc_id for r in leaks.remove_leaked(df, leaks.leaked_pairs(df, items)).collect()) == [3, 4, 5, 6]
     assert leaks.leaked_pairs(df.limit(0), items).count() == 0
     assert leaks.leaked_pairs(df, items.limit(0)).count() == 0
+
+
+def test_places_of_matches(spark):
+    """Where the longest verbatim match begins, in item and document; a tag of any length within it does not count."""
+    words = [f"word{k}" for k in range(40)]
+    items = spark.createDataFrame([(1, "en", " ".join(words)), (2, "en", " ".join(f"other{k}" for k in range(20)))], "item_id long, lang string, text string")
+    link = "<a class='x' href=\"https://host.example/" + "p" * 400 + "\">"
+    docs = spark.createDataFrame([(1, "one two three " + " ".join(words[5:15]) + " " + link + " ".join(words[15:30]) + "</a> end"), (2, " ".join(words[:8]))], "doc_id long, text string")
+    for block in (1, 5000):
+        (r,) = leaks.find_leaks(docs, items, block_items=block).collect()
+        assert (r.doc_id, r.item_id, r.verbatim, r.passage, r.item_at, r.doc_at) == (1, 1, 25, 25, 5, 3)
