@@ -73,11 +73,16 @@ def change_events(readings: DataFrame, key: str, at: str, value: str, bucket_us:
     ).where(F.col("kind").isNotNull())
 
 
-def versions(events: DataFrame, key: str, at: str, value: str, bucket_us: int = BUCKET_US) -> DataFrame:
-    """(key, valid_from, valid_to, value): valid_to is the start of the key's next version, null for the last one."""
+def versions(events: DataFrame, key: str, at: str, value: str, bucket_us: int = BUCKET_US, close_ended: bool = False) -> DataFrame:
+    """(key, valid_from, valid_to, value): valid_to is the start of the key's next version. The last version of a key stays
+    open (null), or with ``close_ended`` is valid until the key was last read (for sources where absence means its end)."""
     starts = events.where(F.col("kind").isin("inserted", "changed")).select(key, at, value)
     spans = bucketed_neighbour(starts, key, at, [at], ahead=True, bucket_us=bucket_us)
-    return spans.select(key, F.col(at).alias("valid_from"), F.col(f"near_{at}").alias("valid_to"), value)
+    spans = spans.select(key, F.col(at).alias("valid_from"), F.col(f"near_{at}").alias("valid_to"), value)
+    if not close_ended:
+        return spans
+    ended = events.where(F.col("kind") == "ended").select(key, F.col(at).alias("_ended"))
+    return spans.join(ended, key, "left").withColumn("valid_to", F.coalesce("valid_to", "_ended")).drop("_ended")
 
 
 def star_history(snapshots: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
@@ -87,14 +92,14 @@ def star_history(snapshots: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     at one instant the highest snap_id holds. An empty table gives an empty result; other columns are ignored.
     """
     at = F.unix_micros(F.try_to_timestamp(F.trim(F.regexp_replace("fetched_at", r"[\s\x{00A0}\x{3000}]+", " "))))
+    # unusable rows leave after the cut: a condition on the address would be moved below and taken apart from it again
     readings = (
         snapshots.where("stars >= 0")
         .select(repo_key(F.col("repo_url")).alias("repo_key"), at.alias("at"), "stars", "snap_id")
-        .where("at is not null and repo_key is not null and repo_key <> ''")
         .groupBy("repo_key", "at")
         .agg(F.max_by("stars", "snap_id").alias("stars"))
     )
-    readings = cut_lineage(readings)
+    readings = cut_lineage(readings).where("at is not null and repo_key is not null and repo_key <> ''")
     spans = versions(change_events(readings, "repo_key", "at", "stars", bucket_us), "repo_key", "at", "stars", bucket_us)
     stamp = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return spans.select("repo_key", stamp(F.col("valid_from")).alias("valid_from"), F.coalesce(stamp(F.col("valid_to")), F.lit("")).alias("valid_to"), "stars")

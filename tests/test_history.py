@@ -51,3 +51,14 @@ def test_edges(spark):
     assert H.star_history(spark.createDataFrame([], schema)).count() == 0
     odd = spark.createDataFrame([(1, None, 1, "2026-01-01T00:00:00Z", "x"), (2, "https://h/o/n", 1, "nonsense", None), (3, "", 2, "2026-01-01T00:00:00Z", None), (4, "https://h/o/" + "n" * 50_000, 2, None, None)], schema)
     assert H.star_history(odd).count() == 0
+
+
+def test_ended_keys_can_close_their_last_version(spark):
+    from eventloom.operators import history as H
+
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 4, 5), ("a", 6, 7), ("b", 2, 1)], "k string, at long, v long")
+    events = H.change_events(rows, "k", "at", "v", bucket_us=3)
+    assert sorted((r.k, r["at"], r.kind) for r in events.collect()) == [("a", 1, "inserted"), ("a", 6, "changed"), ("a", 6, "ended"), ("b", 2, "ended"), ("b", 2, "inserted")]
+    open_ = sorted(tuple(r) for r in H.versions(events, "k", "at", "v", bucket_us=3).collect())
+    closed = sorted(tuple(r) for r in H.versions(events, "k", "at", "v", bucket_us=3, close_ended=True).collect())
+    assert open_ == [("a", 1, 6, 5), ("a", 6, None, 7), ("b", 2, None, 1)] and closed == [("a", 1, 6, 5), ("a", 6, 6, 7), ("b", 2, 2, 1)]
