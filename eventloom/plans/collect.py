@@ -63,8 +63,8 @@ def pool_mentions(items: DataFrame, pool: DataFrame, most: int = 6) -> DataFrame
     """Feed items (file, pos, title, snippet) about a company of the pool, with ``company``: the first in pool order with an alias
     in the text, if the title has one of its aliases too. Noise is dropped; the first ``most`` of each feed."""
     rows = items.where(~noise("title")).withColumn("_text", F.concat_ws(" ", "title", "snippet"))
-    alias = F.explode(F.array_union(F.array("company"), F.coalesce("aliases", F.array().cast("array<string>"))))
-    names = pool.select("company_id", "company", F.lower(alias).alias("_a")).where((F.length("_a") >= 2) & ~F.col("_a").isin(*LOW_ALIASES))
+    named = F.array_union(F.array("company"), F.coalesce("aliases", F.array().cast("array<string>")))
+    names = pool.select("company_id", "company", F.explode(F.transform(named, F.lower)).alias("_a")).where((F.length("_a") >= 2) & ~F.col("_a").isin(*LOW_ALIASES))
     hits = rows.join(lookups.broadcast_if_small(names), F.contains(F.lower("_text"), F.col("_a")))
     per = hits.groupBy("file", "pos", "company_id", "company").agg(F.bool_or(F.contains(F.lower("title"), F.col("_a"))).alias("_in_title"))
     first = Window.partitionBy("file", "pos").orderBy("company_id")
