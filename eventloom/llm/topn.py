@@ -47,7 +47,8 @@ def _heaps(keys: list[str], score: str, uid: str, n: int):
         for batch in batches:
             waiting.append(batch)
             rows += batch.num_rows
-            if rows < 65_536:
+            # as many new rows as are held, so that what is held is sorted again only when its size may have doubled
+            if rows < max(65_536, held.num_rows if held is not None else 0):
                 continue
             part = pa.Table.from_batches(waiting)
             held = _best(pa.concat_tables([held, part]) if held is not None else part, keys, score, uid, n)
