@@ -68,3 +68,21 @@ def within_days(report_date: Column, time: Column, days: int) -> Column:
 def time_bucket(report_date: Column, time: Column) -> Column:
     """Bucket of a date for merging: days before the report, at most 7; 0 for future ones, 'no-date' without date."""
     return F.coalesce(F.least(F.lit(7), F.greatest(F.lit(0), day_diff(report_date, time))).cast("string"), F.lit("no-date"))
+
+
+def iso_date(x: Column) -> Column:
+    """A timestamp's day in UTC as text; '' for none."""
+    return F.coalesce(F.date_format(x.try_cast("timestamp"), "yyyy-MM-dd"), F.lit(""))
+
+
+def iso_datetime(x: Column) -> Column:
+    """A timestamp in UTC as text with milliseconds; '' for none."""
+    return F.coalesce(F.date_format(x.try_cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.lit(""))
+
+
+def hours_ago(as_of: Column, hours: int) -> Column:
+    return iso_datetime(F.timestamp_micros(F.unix_micros(as_of.cast("timestamp")) - hours * 3_600_000_000))
+
+
+def days_ago(as_of: Column, days: int) -> Column:
+    return hours_ago(as_of, 24 * days)

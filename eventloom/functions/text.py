@@ -103,6 +103,11 @@ def report_id(date: Column | str) -> Column:
     return F.concat(F.lit("report_"), F.replace(col(date).cast("string"), F.lit("-"), F.lit("")))
 
 
+def task_id(date: Column | str) -> Column:
+    """An identifier of a run, different every time."""
+    return F.concat(F.lit("task_"), F.replace(col(date).cast("string"), F.lit("-"), F.lit("")), F.lit("_"), F.substring(F.uuid(), 1, 8))
+
+
 def han_ratio(x: Column | str) -> Column:
     """Share of Han characters among all; 0 for an empty text."""
     x = F.coalesce(col(x), F.lit(""))

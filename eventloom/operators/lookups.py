@@ -91,3 +91,23 @@ def corroborate(df: DataFrame, hits: DataFrame, uid: str, sources: str, least: f
     more = good.groupBy(uid).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "evidence"))), lambda x: x["evidence"]).alias("_more"))
     urls = F.transform(F.col(sources), lambda s: s["url"])
     return df.join(more, uid, "left").withColumn(sources, F.when(F.col("_more").isNull(), F.col(sources)).otherwise(F.concat(sources, F.filter("_more", lambda s: ~F.array_contains(urls, s["url"]))))).drop("_more")
+
+
+def with_restated(picks: DataFrame, restated: DataFrame) -> DataFrame:
+    """``picks`` with ``title_zh`` and ``description_zh`` of ``restated`` (event_id, title, body) where they are given; the first
+    restatement of an event holds."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    one = restated.groupBy("event_id").agg(F.first(blank("title"), ignorenulls=True).alias("title_zh"), F.first(blank("body"), ignorenulls=True).alias("description_zh"))
+    return picks.join(one, "event_id", "left")
+
+
+def search_matches(hits: DataFrame, pool: DataFrame, words: list[str], most: int = 6, min_alias: int = 3) -> DataFrame:
+    """Search hits (file, pos, title, snippet) for companies without a feed of their own, with ``company``: the first in pool order
+    with an alias of ``min_alias`` characters in a text that has one of ``words`` too; the first ``most`` of each file."""
+    text = F.lower(F.concat_ws(" ", "title", "snippet"))
+    rows = hits.withColumn("_t", text).where(F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(text, w)))
+    named = F.array_union(F.array("company"), F.coalesce("aliases", F.array().cast("array<string>")))
+    names = pool.select("company_id", "company", F.explode(F.transform(named, F.lower)).alias("_a")).where(F.length("_a") >= min_alias)
+    found = rows.join(broadcast_if_small(names), F.contains("_t", F.col("_a"))).groupBy("file", "pos").agg(F.min_by("company", "company_id").alias("company"))
+    first = Window.partitionBy("file").orderBy("pos")
+    return rows.drop("_t").join(found, ["file", "pos"]).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).drop("_r")

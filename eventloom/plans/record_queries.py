@@ -426,3 +426,40 @@ def merge_evidence_by_key(spark: SparkSession, d: str) -> DataFrame:
     out = merge.evidence_by_key(rows, "key", "row_id", "source")
     return out.select("key", F.array_join(F.transform("source", lambda s: F.concat(s["url"], F.lit("="), F.coalesce(s["name"], F.lit("")))), " ").alias("merged"))
 
+
+
+@query(
+    "iso_dates",
+    f"""SELECT row_id, strftime(created_at, '%Y-%m-%d') AS day, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS moment, strftime(created_at - INTERVAL 36 HOUR, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS before,
+               strftime(created_at - INTERVAL 7 DAY, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS week FROM standard_events""",
+)
+def iso_dates(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("created_at")
+    return _std(spark, d).select("row_id", dates.iso_date(at).alias("day"), dates.iso_datetime(at).alias("moment"), dates.hours_ago(at, 36).alias("before"), dates.days_ago(at, 7).alias("week"))
+
+
+@query("raw_by_module", "SELECT raw_id, epoch_us(fetched_at) AS fetched_us FROM enterprise_raw_events WHERE module = 'enterprise'")
+def raw_by_module(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.matching(_raw(spark, d), module="enterprise").orderBy(F.desc("fetched_at"), "raw_id").select("raw_id", F.unix_micros(F.col("fetched_at").cast("timestamp")).alias("fetched_us"))
+
+
+@query(
+    "restate_join",
+    f"""WITH r AS (SELECT event_id, arg_min(nullif(trim(title),''), row_id) AS t FROM (SELECT * FROM standard_events WHERE row_id % 3 = 0) GROUP BY event_id), p AS (SELECT row_id, event_id FROM standard_events WHERE {_CAT} = 'paper')
+        SELECT row_id, t AS title_zh FROM p LEFT JOIN r USING (event_id)""",
+)
+def restate_join(spark: SparkSession, d: str) -> DataFrame:
+    rows = _std(spark, d)
+    first = rows.where("row_id % 3 = 0").groupBy("event_id").agg(F.min_by(F.nullif(F.trim("title"), F.lit("")), F.when(F.length(F.trim("title")) > 0, F.col("row_id"))).alias("title")).withColumn("body", F.lit(""))
+    return lookups.with_restated(rows.where(F.lower(F.trim("module")) == "paper").select("row_id", "event_id"), first).select("row_id", "title_zh")
+
+
+@query(
+    "search_fallback",
+    """WITH h AS (SELECT raw_id, lower(concat_ws(' ', title, content)) AS t FROM enterprise_raw_events), w AS (SELECT * FROM h WHERE contains(t, 'model') OR contains(t, '模型')),
+       n AS (SELECT company_id, company, lower(unnest(list_concat([company], coalesce(aliases, [])))) AS al FROM enterprise_pool)
+       SELECT raw_id AS pos, arg_min(company, company_id) AS company FROM w JOIN n ON length(al) >= 3 AND contains(t, al) GROUP BY raw_id""",
+)
+def search_fallback(spark: SparkSession, d: str) -> DataFrame:
+    hits = _raw(spark, d).select(F.col("raw_id").cast("string").alias("file"), F.col("raw_id").alias("pos"), "title", F.col("content").alias("snippet"))
+    return lookups.search_matches(hits, table(spark, d, "enterprise_pool"), ["model", "模型"]).select("pos", "company")
