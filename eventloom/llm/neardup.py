@@ -156,28 +156,40 @@ def only_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return passed.select(*rows.columns).join(wanted, "uid")
 
 
+#: Bits of a band row's number that hold the size of the set (as much of it as goes in); the others are the band's hash.
+SIZE_BITS = 16
+
+
+def _band(c: str) -> Column:
+    return F.shiftrightunsigned(F.col(c), SIZE_BITS)
+
+
 def bucket_pairs(flat: DataFrame, parts: int, threshold: float) -> DataFrame:
     """(a, b), a < b: all representatives that share a band and are near enough in size, each pair at least once, from
-    (uid, n, band).
+    (uid, x), where ``x`` is the band's hash above the size.
 
     Hot bands are looked for in a sample of the representatives (which bands are split changes no result); those in one are
     cut into cells, and each cell meets the whole band in a task of its own.
     """
-    hot = cut_lineage(flat.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLED)) == 0).groupBy("band").agg(F.count("*").alias("_n")).where(F.col("_n") >= HOT).select("band"))
-
-    def pair(l: DataFrame, r: DataFrame, on: list[str]) -> DataFrame:
-        sizes = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * threshold - 1e-9
-        met = l.alias("l").join(r.alias("r"), [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on] + [F.col("l.uid") < F.col("r.uid"), sizes])
+    sample = flat.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLED)) == 0)
+    hot = cut_lineage(sample.groupBy(_band("x").alias("band")).agg(F.count("*").alias("_n")).where(F.col("_n") >= HOT).select("band"))
+    size = lambda c: F.col(c).bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+
+    def pair(l: DataFrame, r: DataFrame, on: list[Column]) -> DataFrame:
+        # sizes cut off are taken for equal, which keeps pairs
+        sizes = F.least(size("l.x"), size("r.x")) >= F.greatest(size("l.x"), size("r.x")) * threshold - 1e-9
+        met = l.alias("l").join(r.alias("r"), [_band("l.x") == _band("r.x"), *on, F.col("l.uid") < F.col("r.uid"), sizes])
         return met.select(F.col("l.uid").alias("a"), F.col("r.uid").alias("b"))
 
     if hot.isEmpty():
-        cold = flat.repartition(parts, "band")
-        return pair(cold, cold, ["band"])
+        cold = flat.repartition(parts, _band("x"))
+        return pair(cold, cold, [])
     known = broadcast_if_small(hot)
-    cold, warm = flat.join(known, "band", "left_anti").repartition(parts, "band"), flat.join(known, "band", "left_semi")
+    cold, warm = (flat.join(known, _band("x") == F.col("band"), how) for how in ("left_anti", "left_semi"))
+    cold = cold.repartition(parts, _band("x"))
     left = warm.withColumn("cell", F.pmod(F.xxhash64("uid"), F.lit(CELLS)).cast("int"))
     right = warm.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
-    return pair(cold, cold, ["band"]).unionByName(pair(left, right, ["band", "cell"]))
+    return pair(cold, cold, []).unionByName(pair(left, right, [F.col("l.cell") == F.col("r.cell")]))
 
 
 def near_duplicates(
@@ -200,7 +212,8 @@ def near_duplicates(
     parts = max(8, -(-signed.count() * bands // BAND_ROWS))
     # representatives go by their uid: numbers that lie close take less room in the shuffles than hashes
     reps = signed.groupBy("cls").agg(F.min_by(F.struct("uid", "key", "n", "bands"), "uid").alias("r")).select("r.*")
-    flat = reps.select("uid", "key", "n", F.posexplode("bands").alias("no", "band")).select("uid", "n", (F.xxhash64("key", "no", "band").bitwiseAND(F.lit((1 << 48) - 1))).alias("band"))
+    size = F.least(F.col("n"), F.lit((1 << SIZE_BITS) - 1)).cast("bigint")
+    flat = reps.select("uid", "key", size.alias("n"), F.posexplode("bands").alias("no", "band")).select("uid", F.shiftleft(F.xxhash64("key", "no", "band"), SIZE_BITS).bitwiseOR(F.col("n")).alias("x"))
     sketch = signed.groupBy("cls").agg(F.min("uid").alias("uid"), F.max("s1").alias("s1"), F.max("s2").alias("s2"))
     agree = SKETCH_BITS - F.bit_count(F.col("s1").bitwiseXOR(F.col("r1"))) - F.bit_count(F.col("s2").bitwiseXOR(F.col("r2")))
     # by one end alone: the partitioning serves the removal of repeated pairs and the join
