@@ -144,6 +144,21 @@ def merge_cross_source(df: DataFrame, key: Column, seq: str) -> DataFrame:
     return _merged(rows, "_key", seq, ("company", "product", "entities", "insight")).select(*df.columns)
 
 
+def merge_papers(df: DataFrame, leaders: DataFrame, uid: str) -> DataFrame:
+    """One row for each leader of ``leaders`` (uid, leader): its own, with the evidence of the others whose host was not there
+    before, one entry for each URL. What is no URL counts as its own host."""
+    rows = df.join(leaders.select(F.col("uid").alias(uid), F.col("leader").alias("_leader")), uid)
+    flat = rows.select("_leader", F.col(uid).alias("_q"), F.posexplode(F.coalesce("source", F.array().cast(EVIDENCE))).alias("_p", "_s"))
+    host = F.coalesce(url_host("_s.url"), F.col("_s.url"), F.lit(""))
+    flat = flat.withColumn("_host", host).where((F.col("_q") == F.col("_leader")) | (F.coalesce("_s.url", F.lit("")) != ""))
+    first = flat.groupBy("_leader", "_host").agg(F.min("_q").alias("_q"))
+    spot = F.struct("_q", "_p")
+    kept = flat.join(first, ["_leader", "_host", "_q"]).groupBy("_leader", F.coalesce("_s.url", F.lit("")).alias("_u")).agg(F.min(spot).alias("_first"), F.max_by("_s", spot).alias("_s"))
+    sources = kept.groupBy("_leader").agg(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_s"))), lambda x: x["_s"]).cast(EVIDENCE).alias("_sources"))
+    own = df.join(leaders.where("uid = leader").select(F.col("uid").alias(uid)), uid)
+    return own.join(sources, F.col(uid) == F.col("_leader"), "left").withColumn("source", F.coalesce("_sources", F.array().cast(EVIDENCE))).select(*df.columns)
+
+
 def append_or_replace(stored: DataFrame, record: DataFrame) -> DataFrame:
     """Feedback with one more record, or with it in place of the one of its id; newest first."""
     return merge_feedback(stored, record)

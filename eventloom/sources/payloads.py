@@ -27,11 +27,15 @@ def _json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(ddl).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("_file", F.col("_metadata.file_path"))
 
 
-def github_repositories(spark: SparkSession, path: str, per_query: int = 15) -> DataFrame:
+def github_repositories(spark: SparkSession, path: str, per_query: int = 15, as_of: Column | None = None, pushed_within_hours: int | None = None) -> DataFrame:
     """Repositories of search responses (one file for each query), the first ``per_query`` of each, one for each URL in the
-    order of the files' names."""
+    order of the files' names. With ``pushed_within_hours`` those that were not pushed to so shortly before ``as_of`` are left
+    out first (the track of established repositories; that of rising ones has no such bound)."""
     item = "struct<full_name:string,name:string,html_url:string,description:string,stargazers_count:bigint,forks_count:bigint,open_issues_count:bigint,language:string,topics:array<string>,created_at:string,pushed_at:string,owner:struct<login:string>>"
     rows = _json(spark, path, f"items array<{item}>").select("_file", F.posexplode("items").alias("pos", "i")).where(F.col("pos") < per_query)
+    if pushed_within_hours is not None:
+        age = F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("i.pushed_at").try_cast("timestamp"))
+        rows = rows.where(age <= pushed_within_hours * 3600)
     rows = rows.withColumn("_key", url_key("i.html_url")).where("_key <> ''")
     first = rows.groupBy("_key").agg(F.min_by("i", F.struct("_file", "pos")).alias("i"), F.min(F.struct("_file", "pos")).alias("seq"))
     return first.select(
@@ -150,6 +154,15 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
     return _documents(spark, path).select("file", page_title("doc").alias("title"), article_body("doc").alias("body"))
 
 
+def with_details(cards: DataFrame, details: DataFrame, base: str) -> DataFrame:
+    """Cards of a listing with title and body of the pages that they lead to; ``details`` is (url, title, body), and addresses of
+    cards are taken from ``base`` on. A card whose page is missing keeps its own text and has no body."""
+    url = F.when(F.col("href").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("href")).otherwise(F.concat(F.lit(base.rstrip("/")), F.col("href")))
+    pages = details.groupBy("url").agg(F.first("title").alias("_title"), F.first("body").alias("body"))
+    joined = cards.withColumn("url", url).join(pages, "url", "left")
+    return joined.withColumn("title", F.coalesce(F.nullif(F.col("_title"), F.lit("")), F.col("text"))).drop("_title")
+
+
 def report_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, section, title) of numbered entries of Markdown reports; ``section`` is the heading they stand under."""
     lines = _documents(spark, path).select("file", F.posexplode(F.split("doc", r"\r?\n")).alias("line_no", "line"))

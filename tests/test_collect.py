@@ -242,3 +242,23 @@ def test_dedup_of_a_run(spark):
     got = {r.row_id: (r.description, len(r.source)) for r in merge.merge_cross_source(df, key, "row_id").collect()}
     assert got == {1: ("longer", 2), 3: ("d", 1), 4: ("d", 1), 5: ("d", 1), 6: ("d", 2)}
     assert daily.WINDOW_DAYS["paper"] == 7
+
+
+def test_papers_take_sources_of_new_hosts(spark):
+    ev = lambda *urls: [(u, "t", f"n{k}", None, None) for k, u in enumerate(urls)]
+    rows = [(1, "A", ev("https://a.example/1", "")), (2, "B", ev("https://A.example/9", "https://b.example/1", "https://b.example/2", "")), (3, "C", ev("https://b.example/3", "https://c.example/1")), (4, "D", None)]
+    df = spark.createDataFrame(rows, f"row_id long, title string, source array<{EV}>")
+    leaders = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4)], "uid long, leader long")
+    got = {r.row_id: (r.title, [s.url for s in r.source]) for r in merge.merge_papers(df, leaders, "row_id").collect()}
+    assert got == {1: ("A", ["https://a.example/1", "", "https://b.example/1", "https://b.example/2", "https://c.example/1"]), 4: ("D", [])}
+
+
+def test_details_of_cards_and_tracks(spark, tmp_path):
+    cards = spark.createDataFrame([("f", "/news/a", "card A", 0), ("f", "https://o.example/b", "card B", 1)], "file string, href string, text string, pos int")
+    pages = spark.createDataFrame([("https://h.example/news/a", "Title A", "body")], "url string, title string, body string")
+    assert sorted((r.url, r.title, r.body) for r in payloads.with_details(cards, pages, "https://h.example/").collect()) == [("https://h.example/news/a", "Title A", "body"), ("https://o.example/b", "card B", None)]
+    item = lambda n, pushed: {"name": n, "html_url": f"https://h/o/{n}", "stargazers_count": 1, "pushed_at": pushed}
+    (tmp_path / "q.json").write_text(json.dumps({"items": [item("fresh", "2026-08-30T00:00:00Z"), item("stale", "2026-08-01T00:00:00Z"), item("never", None)]}))
+    path, now = str(tmp_path / "q.json"), F.lit("2026-08-31 12:00:00")
+    assert [r.project_name for r in payloads.github_repositories(spark, path, as_of=now, pushed_within_hours=72).collect()] == ["fresh"]
+    assert payloads.github_repositories(spark, path).count() == 3
