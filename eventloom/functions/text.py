@@ -27,6 +27,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for each row, however often it occurs there, also within other lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean_text(x: Column | str) -> Column:
     """Line breaks and runs of blanks to one space; none before a CJK closing or after an opening mark; trimmed. Null to ''."""
     y = F.regexp_replace(F.coalesce(col(x), F.lit("")), r"[\s\x{00A0}\x{3000}\x{FEFF}]+", " ")
@@ -76,19 +81,17 @@ def core_noun(title: Column | str) -> Column:
     """The longest window of 2 to 5 tokens that does not begin with a stop word (of equals the first), if it has 6
     characters; else the longest run of Han characters; else that window, however short."""
     title = F.coalesce(col(title), F.lit(""))
-    words = F.regexp_extract_all(F.lower(title), F.lit(r"([a-z0-9][a-z0-9-]*)"), 1)
-    n = F.size(words)
-    windows = F.flatten(
-        F.transform(
-            F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.when(
-                F.element_at(words, i).isin(*NOUN_STOP_WORDS), F.array().cast("array<string>")
-            ).otherwise(F.transform(F.sequence(F.lit(2), F.least(F.lit(5), n - i + 1)), lambda k: F.array_join(F.slice(words, i, k), " "))),
-        )
-    )
     longest = lambda xs: F.aggregate(xs, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
-    latin, han = longest(windows), longest(F.regexp_extract_all(title, F.lit(rf"([{HAN}]{{2,}})"), 1))
-    return F.when(F.length(latin) >= 6, latin).when(F.length(han) >= 2, han).otherwise(latin)
+
+    def windows(words: Column) -> Column:
+        n = F.size(words)
+        at = lambda i: F.transform(F.sequence(F.lit(2), F.least(F.lit(5), n - i + 1)), lambda k: F.array_join(F.slice(words, i, k), " "))
+        starts = F.filter(F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: ~F.element_at(words, i).isin(*NOUN_STOP_WORDS))
+        return F.flatten(F.transform(starts, at))
+
+    latin = let(F.regexp_extract_all(F.lower(title), F.lit(r"([a-z0-9][a-z0-9-]*)"), 1), lambda words: longest(windows(words)))
+    han = longest(F.regexp_extract_all(title, F.lit(rf"([{HAN}]{{2,}})"), 1))
+    return let(F.struct(latin.alias("latin"), han.alias("han")), lambda x: F.when(F.length(x["latin"]) >= 6, x["latin"]).when(F.length(x["han"]) >= 2, x["han"]).otherwise(x["latin"]))
 
 
 def stable_id(module: Column | str, primary_key: Column | str, title: Column | str) -> Column:
@@ -149,7 +152,7 @@ def allowed_numbers(x: Column | str) -> Column:
 
 def untraceable_numbers(text: Column | str, allowed: Column) -> Column:
     """Number tokens of a text of which no form is among the allowed ones."""
-    return F.filter(number_tokens(text), lambda t: ~F.exists(_number_forms(t), lambda f: F.array_contains(allowed, f)))
+    return let(allowed, lambda known: F.filter(number_tokens(text), lambda t: ~F.exists(_number_forms(t), lambda f: F.array_contains(known, f))))
 
 
 def escape_html(x: Column | str) -> Column:
@@ -185,7 +188,8 @@ def related(subject: Column, text: Column, company: Column) -> Column:
     runs = lambda x, most: F.regexp_extract_all(x, F.lit(rf"([{HAN}]{{2,{most}}})"), 1)
     named = company.rlike("[A-Za-z]") & F.contains(low, F.lower(company))
     parts = runs(company, "")
-    alias = F.exists(parts, lambda c: F.contains(text, c)) | F.exists(runs(text, ""), lambda r: F.exists(parts, lambda c: F.contains(r, c) | F.contains(c, r)))
+    alias = F.exists(parts, lambda c: F.contains(text, c)) | let(parts, lambda ps: F.exists(runs(text, ""), lambda r: F.exists(ps, lambda c: F.contains(r, c) | F.contains(c, r))))
     terms = F.filter(F.regexp_extract_all(subject, F.lit(r"\b([A-Za-z][A-Za-z0-9]*[-_.]?[A-Za-z0-9]*)\b"), 1), lambda w: (F.length(w) >= 4) & ~F.lower(w).isin(*SUBJECT_STOP_WORDS))
     shared = F.arrays_overlap(F.filter(runs(subject, 4), lambda t: ~t.isin(*COMMON_TOKENS)), runs(text, 4))
-    return (text != "") & (named | alias | F.exists(terms, lambda w: F.contains(low, F.lower(w))) | shared)
+    termed = let(low, lambda x: F.exists(terms, lambda w: F.contains(x, F.lower(w))))
+    return (text != "") & (named | alias | termed | shared)

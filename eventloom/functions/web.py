@@ -70,7 +70,7 @@ def _strip_once(x: Column) -> Column:
     x = F.regexp_replace(F.regexp_replace(x, r"<!\[CDATA\[|\]\]>", ""), r"<[^>]+>", " ")
     for name, char in _ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(char))
-    return F.regexp_replace(_numeric_entities(x), r"\s+", " ")
+    return F.regexp_replace(F.when(F.contains(x, F.lit("&#")), _numeric_entities(x)).otherwise(x), r"\s+", " ")
 
 
 def strip_tags(x: Column | str) -> Column:

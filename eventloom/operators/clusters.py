@@ -1,8 +1,9 @@
 """Leader clustering: a row joins the first leader like it, else becomes a leader; only leaders are compared.
 
-Order decides, so a group is one task's work. Groups are first split by what any match must share (a block); where a
-block may still be large, use the near-duplicate or exact-key operators instead. Within a block, leaders are found by an
-inverted index over tokens, rarest first, not by a scan of all.
+Order decides, so the distinct titles of a group are one task's work; copies of a title are brought together before, since
+only the first of them can lead. Groups are first split by what any match must share (a block); where a block may
+still be large, use the near-duplicate or exact-key operators instead. Within a block, leaders are found by an inverted index
+over tokens, rarest first, not by a scan of all.
 """
 
 from __future__ import annotations
@@ -67,22 +68,42 @@ def assign_leaders(titles: list[str | None], keys: list[str | None], threshold:
 
 
 def leader_clusters(df: DataFrame, block: str, uid: str, title: str, seq: str, threshold: float | str, strong_key: str | None = None) -> DataFrame:
-    """(uid, leader): the leader's uid for every row, within its block, in the order of ``seq``.
+    """(uid, leader): the leader's uid for every row, within its block, in the order of ``seq``, whose values are distinct in it.
 
-    ``threshold`` may name a column that is the same throughout a block; null there leaves the strong key alone.
+    ``threshold`` may name a column that is the same throughout a block; null there leaves the strong key alone. Rows
+    without title and key lead themselves. A later copy of a title and key joins what its first did, or the leader with its key
+    where that came between the two.
     """
-    use = list(dict.fromkeys([block, uid, title, seq] + [c for c in (strong_key, threshold) if isinstance(c, str)]))
+    kind, kind_q = dict(df.dtypes)[uid], dict(df.dtypes)[seq]
+    like = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
+    blank = lambda c: F.when(F.col(c) != "", F.col(c))
+    rows = cut_lineage(df.select(
+        F.col(block).alias("b"), F.col(uid).alias("uid"), blank(title).alias("t"), F.col(seq).alias("q"), like.cast("double").alias("h"), (blank(strong_key) if strong_key else F.lit(None).cast("string")).alias("k")
+    ))  # fmt: skip  # titles and keys may be long expressions, which are used more than once
+    some = F.col("t").isNotNull() | F.col("k").isNotNull()
+    nodes = rows.where(some).groupBy("b", "t", "k").agg(F.min_by("uid", "q").alias("uid"), F.min("q").alias("q"), F.max("h").alias("h"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq)
-        keys = pdf[strong_key].tolist() if strong_key else [None] * len(pdf)
-        least = pdf[threshold].iloc[0] if isinstance(threshold, str) else threshold
-        numbers = assign_leaders(pdf[title].tolist(), keys, None if pd.isna(least) else float(least))
-        uids = pdf[uid].to_numpy()
-        return pd.DataFrame({"uid": uids, "leader": uids[numbers]})
-
-    kind = dict(df.dtypes)[uid]
-    return df.select(*use).groupBy(block).applyInPandas(run, f"uid {kind}, leader {kind}")
+        pdf = pdf.sort_values("q")
+        titles, keys = ([x if isinstance(x, str) else None for x in pdf[c]] for c in ("t", "k"))
+        least = pdf["h"].iloc[0]
+        numbers = assign_leaders(titles, keys, None if pd.isna(least) else float(least))
+        by_key: dict[str, int] = {}
+        for k, leader in enumerate(numbers):
+            if k == leader and keys[k]:
+                by_key.setdefault(keys[k], k)
+        uids, seqs = pdf["uid"].tolist(), pdf["q"].tolist()
+        of = [by_key.get(key) if key else None for key in keys]
+        return pd.DataFrame({
+            "b": pdf["b"].tolist(), "t": titles, "k": keys, "leader": [uids[n] for n in numbers],
+            "key_leader": pd.Series([None if n is None else uids[n] for n in of], dtype=object), "key_q": pd.Series([None if n is None else seqs[n] for n in of], dtype=object),
+        })
+
+    kind_b = dict(df.dtypes)[block]
+    led = nodes.groupBy("b").applyInPandas(run, f"b {kind_b}, t string, k string, leader {kind}, key_leader {kind}, key_q {kind_q}").alias("n")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("b", "t", "k")]
+    joined = rows.where(some).alias("r").join(led, same).select("r.uid", F.when(F.col("key_q") < F.col("q"), F.col("key_leader")).otherwise(F.col("leader")).alias("leader"))
+    return joined.unionByName(rows.where(~some).select("uid", F.col("uid").alias("leader")))
 
 
 #: Undecided key pairs up to which first_by_either_key lets one task finish; each round above it runs over all executors.

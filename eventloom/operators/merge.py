@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.dates import time_bucket
-from eventloom.functions.text import core_noun, dedup_key
+from eventloom.functions.text import core_noun, dedup_key, let
 from eventloom.functions.web import url_host, url_key
 
 EVIDENCE = "array<struct<url:string,source_type:string,name:string,credibility_score:double,published_at:string>>"
@@ -18,15 +18,15 @@ EVIDENCE = "array<struct<url:string,source_type:string,name:string,credibility_s
 def merge_evidence(sources: Column) -> Column:
     """Evidence without empty URLs, one entry for each URL: at the place of its first, with the values of its last."""
     kept = F.filter(F.coalesce(sources, F.array().cast(EVIDENCE)), lambda s: F.coalesce(s["url"], F.lit("")) != "")
-    urls = F.array_distinct(F.transform(kept, lambda s: s["url"]))
-    return F.transform(urls, lambda u: F.element_at(F.filter(kept, lambda s: s["url"] == u), -1))
+    last = lambda ss: F.transform(F.array_distinct(F.transform(ss, lambda s: s["url"])), lambda u: F.element_at(F.filter(ss, lambda s: s["url"] == u), -1))
+    return let(kept, last)
 
 
 def add_new_hosts(first: Column, more: Column) -> Column:
     """``first`` with those of ``more`` that have a URL whose host it does not have yet; what is no URL counts as its own host."""
     host = lambda s: F.coalesce(url_host(s["url"]), s["url"], F.lit(""))
-    hosts = F.transform(first, host)
-    return F.concat(first, F.filter(more, lambda s: (F.coalesce(s["url"], F.lit("")) != "") & ~F.array_contains(hosts, host(s))))
+    new = let(F.transform(first, host), lambda hosts: F.filter(more, lambda s: (F.coalesce(s["url"], F.lit("")) != "") & ~F.array_contains(hosts, host(s))))
+    return F.concat(first, new)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

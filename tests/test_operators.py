@@ -186,3 +186,32 @@ def test_report_picks_merge_stories_alike_and_leave_out_reported_ones(spark, tmp
     df.write.parquet(f"{tmp_path}/standard_events.parquet")
     spark.createDataFrame([(1, "Acme", ["acme"])], "company_id long, company string, aliases array<string>").write.parquet(f"{tmp_path}/enterprise_pool.parquet")
     assert [(r.rank_no, r.row_id) for r in reference_queries.report_picks(spark, str(tmp_path)).collect()] == [(1, 1)]
+
+
+def test_copies_join_like_rows_of_their_own(spark):
+    """Many copies, keys that lead between them, and blanks, against the plain scan of all rows."""
+    import random
+
+    from eventloom.operators import clusters
+
+    rng = random.Random(8)
+    words = "tool kit agent model data flow".split()
+    rows = []
+    for k in range(400):
+        title = rng.choice([None, "", *[" ".join(rng.sample(words, 4)) for _ in range(3)]])
+        rows.append((k, rng.choice("xy"), title, rng.choice([None, "", "k1", "k2", "k3", "k4"])))
+    df = spark.createDataFrame(rows, "uid long, b string, t string, k string")
+    got = {r.uid: r.leader for r in clusters.leader_clusters(df, "b", "uid", "t", "uid", 0.6, "k").collect()}
+    want = {}
+    for b in "xy":
+        mine = [r for r in rows if r[1] == b]
+        leaders = []
+        for uid, _, title, key in mine:
+            hit = next((u for u, t, k in leaders if key and k == key), None)
+            if hit is None:
+                hit = next((u for u, t, k in leaders if title and t and clusters.alike(t, title) >= 0.6), None)
+            if hit is None:
+                leaders.append((uid, title, key))
+                hit = uid
+            want[uid] = hit
+    assert got == want and len(set(want.values())) > 10
