@@ -9,6 +9,7 @@ from eventloom.functions.records import accuracy, half_up, importance, passes_ru
 from eventloom.functions.dates import flexible_date, source_has_date
 from eventloom.functions.text import dedup_key, strip
 from eventloom.operators import clusters, lookups, memory, merge, ranking
+from eventloom.session import cut_lineage
 
 #: Days of the display window, by category.
 WINDOW_DAYS = {"paper": 7, "enterprise": 5, "opensource": 1}
@@ -79,9 +80,10 @@ def report_picks(events: DataFrame, report_date: str, reported: DataFrame | None
     are merged, then equal keys of several sources, before the rules apply; what ``reported`` (report_date, category, key)
     has is left out."""
     day = F.lit(report_date)
-    rows = merge.latest(standardise(events), ["event_id"], ["row_id"])
-    rows = ranking.in_window(rows, day, "time", "category", WINDOW_DAYS)
-    rows = merge.merge_leaders(rows, run_leaders(rows, day, pool), "row_id")
+    rows = standardise(merge.latest(events, ["event_id"], ["row_id"]))
+    # what is in the window is a small part of all events and is used several times
+    rows = cut_lineage(ranking.in_window(rows, day, "time", "category", WINDOW_DAYS))
+    rows = cut_lineage(merge.merge_leaders(rows, run_leaders(rows, day, pool), "row_id"))
     merged = merge.merge_cross_source(rows, merge.cross_source_key(F.col("category"), F.col("company"), F.col("product"), F.col("title"), day, F.col("time")), "row_id")
     merged = merged.where(passes_rules(F.col("title"), F.col("description"), F.col("source")))
     merged = scored(merged).withColumn("key", dedup_key("title"))
