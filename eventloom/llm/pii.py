@@ -44,7 +44,7 @@ STREET_WORDS = (
 )
 NAME_CUES = (
     "contact: ", "contact ", "signed-off-by: ", "reviewed-by: ", "co-authored-by: ", "author: ", "said ", "says ", "ask for ", "dr. ", "mr. ", "mrs. ", "ms. ", "prof. ",
-    "reporter\": \"", "author\": \"", "name\": \"", "owner\": \"", "copies to ", "attention of ", "next to ", "written by ", "sagte ", "beantwortet ", "händen von ", "herr ", "frau ",
+    "reporter\": \"", "author\": \"", "name\": \"", "owner\": \"", "copies to ", "attention of ", "next to ", "written by ", "sagte ", "beantwortet ", "händen von ", "herr ", "herrn ", "frau ",
     "contactez ", "a déclaré ", "dijo ", "disse ", "monsieur ", "madame ", "sr. ", "sra. ", "| ", "联系", "作者", "负责人", "登记信息", "姓名", "氏名", "担当者",
     "my colleague ", "colleague ", "colleagues ", "my name is ", "mr ", "mrs ", "ms ", "dr ", "prof ",
 )
@@ -72,7 +72,7 @@ _BARE_PHONE = re.compile(
 _DIGIT = re.compile(r"\d")
 _EXT = re.compile(r",?\s?(?:ext\.?|x|durchwahl|poste|ramal|转|分机)\s?\d{1,6}$", re.I)
 
-_ID = re.compile(r"(?<![A-Za-z0-9])(?!ID\b)(?:[A-Z]{1,3}[ -]?)?\d+(?:([ .\-/])\d+(?:\1\d+)*)?(?:[ -]?[A-Z](?![A-Za-z]))?(?![A-Za-z0-9])")
+_ID = re.compile(r"(?<![A-Za-z0-9])(?!ID\b)(?:[A-Z]{1,3}[ -]?)?\d+(?:([ .\-/])\d+(?:\1\d+)*(?:-\d{1,2}(?!\d))?)?(?:[ -]?[A-Z](?![A-Za-z]))?(?![A-Za-z0-9])")
 
 _CAPS = r"[A-ZÀ-ÖØ-Þ](?:['’]?[a-zß-öø-ÿ]+|['’]?[A-ZÀ-ÖØ-Þ]+)"
 _PARTICLE = r"(?:van der|van den|van de|van|von der|von|zu|de la|de los|del|de|da|dos|do|di|du|la|le|bin|ibn|el|ten|ter)"
@@ -299,8 +299,8 @@ def _names(text: str, cue: str, cue_end: int) -> list[tuple[int, int]]:
     return found
 
 
-_TITLES = frozenset(("dr. ", "mr. ", "mrs. ", "ms. ", "prof. ", "sr. ", "sra. ", "herr ", "frau ", "mr ", "mrs ", "ms ", "dr ", "prof "))
-_AFTER_ID = re.compile(r" (?:de|of|von|for|belonging to) ")
+_TITLES = frozenset(("dr. ", "mr. ", "mrs. ", "ms. ", "prof. ", "sr. ", "sra. ", "herr ", "herrn ", "frau ", "mr ", "mrs ", "ms ", "dr ", "prof "))
+_AFTER_ID = re.compile(r" (?:de|of|von|for|belongs to|belonging to|gehört|pertenece a|pertence a|appartient à) ")
 
 
 def find_pii(text: str) -> list[tuple[str, int, int]]:
